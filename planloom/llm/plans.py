@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
+from planloom.llm.residue import residue_records
 from planloom.session import table
 
 
@@ -17,5 +18,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(typed, "typed", names, "discipline_code", "discipline_name").select("doc_id", "consultant_no", "discipline_code")
 
 
-QUERIES = {"p4_found": p4_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    requirement = table(spark, d, "requirement")
+    fields = ("project_title", "client", "job_number")
+    held = requirement.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("_f")).select("doc_id", "_f.*")
+    return residue_records(held, ["doc_id", "field_name"], "field_name", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
