@@ -7,8 +7,30 @@ from pyspark.sql import functions as F
 
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
+from planloom.llm.organisations import organisation_of
+from planloom.llm.pairs import class_pairs
 from planloom.llm.residue import residue_records
-from planloom.session import table
+from planloom.session import materialise, table
+
+
+def record_values(spark: SparkSession, d: str, own: list[str], bid: list[str], part: str) -> DataFrame:
+    """(key, value) of the record keys of some fields: of projects, of requirement, and of its consultants."""
+
+    def fields(rows: DataFrame, start, names: list[str]) -> DataFrame:
+        held = F.explode(F.array(*[F.struct(F.concat(start, F.lit(n)).alias("key"), F.col(n).alias("value")) for n in names]))
+        return rows.select(held.alias("_f")).select("_f.*").where(F.col("value").isNotNull())
+
+    requirement = table(spark, d, "requirement").select("doc_id", "consultants", *bid)
+    projects = fields(table(spark, d, "projects").select("id", *own), F.concat(F.lit("projects/"), F.col("id"), F.lit("/")), own)
+    bids = fields(requirement, F.concat(F.lit("requirement/"), F.col("doc_id"), F.lit("/")), bid)
+    each = requirement.select("doc_id", F.posexplode("consultants").alias("_at", "_c")).select("doc_id", "_at", F.col(f"_c.{part}").alias(part))
+    parts = fields(each, F.concat(F.lit("requirement/"), F.col("doc_id"), F.lit("/consultants/"), (F.col("_at") + 1).cast("string"), F.lit("/")), [part])
+    return projects.unionByName(bids).unionByName(parts)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    named = record_values(spark, d, ["architect", "client"], ["provider_company"], "firm")
+    return class_pairs(materialise(organisation_of(named, "key", "value"), "organisations"), "organisation")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,5 +47,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_records(held, ["doc_id", "field_name"], "field_name", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
