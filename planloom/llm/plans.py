@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planloom.llm.addresses import building_of
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
 from planloom.llm.organisations import organisation_of
@@ -40,6 +41,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(typed, "typed", names, "discipline_code", "discipline_name").select("doc_id", "consultant_no", "discipline_code")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    placed = record_values(spark, d, ["project_address"], ["site_address", "provider_address"], "address")
+    return class_pairs(materialise(building_of(placed, "key", "value"), "buildings"), "building")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     requirement = table(spark, d, "requirement")
     fields = ("project_title", "client", "job_number")
@@ -47,5 +53,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_records(held, ["doc_id", "field_name"], "field_name", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
