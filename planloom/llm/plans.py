@@ -10,6 +10,7 @@ from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
 from planloom.llm.organisations import organisation_of
 from planloom.llm.pairs import class_pairs
+from planloom.llm.pii import personal_spans
 from planloom.llm.residue import residue_records
 from planloom.session import materialise, table
 
@@ -53,5 +54,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_records(held, ["doc_id", "field_name"], "field_name", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
