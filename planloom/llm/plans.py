@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.llm.addresses import building_of
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
+from planloom.llm.mixing import distinct_texts, mix, mixture_report
 from planloom.llm.organisations import organisation_of
+from planloom.llm.packing import pack
 from planloom.llm.pairs import class_pairs
 from planloom.llm.pii import personal_spans
 from planloom.llm.residue import residue_records
+from planloom.llm.tokens import token_counts
 from planloom.session import materialise, table
 
 
@@ -54,9 +59,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_records(held, ["doc_id", "field_name"], "field_name", "text")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of every capacity: one row for each text or piece of a text."""
+    sizes = materialise(token_counts(table(spark, d, "documents"), ["doc_id"], "text"), "token-counts")
+    capacities = [(r["pack_name"], r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").collect()]
+    packed = [pack(sizes, "doc_id", "n_tokens", c).select(F.lit(name).alias("pack_name"), "container_id", "doc_id", "piece_no", "start_token", "n_tokens") for name, c in capacities]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are: containers, texts, tokens and the share of the room used, for each capacity."""
+    packed = p7_containers(spark, d)
+    by = packed.groupBy("pack_name").agg(F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    sizes = table(spark, d, "pack_sizes")
+    return by.join(F.broadcast(sizes), "pack_name").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    sized = materialise(token_counts(table(spark, d, "documents"), ["doc_id", "source", "text"], "text").withColumn("text", F.sha2("text", 256)), "token-counts")
+    texts = distinct_texts(sized, "doc_id", "source", "text", "n_tokens")
+    return mix(texts, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: one row for each use of a text."""
+    return _mixture(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mixture_report(_mixture(spark, d), "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}
