@@ -25,3 +25,18 @@ def lcs_ratio(a: Column, b: Column) -> Column:
     """2 * LCS / (|a| + |b|), from 0 to 1; two empty strings are alike."""
     total = F.length(a) + F.length(b)
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Similarity 0 to 100 of two strings: the share of letters in their longest common subsequence."""
+    return 100.0 * lcs_ratio(a, b)
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Similarity 0 to 100 of the word sets: 100 if one holds the other, else the best of common words and each side's rest."""
+    wa, wb = (F.array_sort(F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))) for x in (a, b))
+    common, only_a, only_b = F.array_join(F.array_intersect(wa, wb), " "), F.array_join(F.array_except(wa, wb), " "), F.array_join(F.array_except(wb, wa), " ")
+    left, right = F.trim(F.concat_ws(" ", common, only_a)), F.trim(F.concat_ws(" ", common, only_b))
+    inside = (common != "") & ((only_a == "") | (only_b == ""))
+    with_common = F.when(common != "", F.greatest(ratio(common, left), ratio(common, right))).otherwise(0.0)
+    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).when(inside, 100.0).otherwise(F.greatest(ratio(left, right), with_common))
