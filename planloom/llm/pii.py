@@ -45,12 +45,21 @@ def mod23(card: str) -> bool:
 
 # ---- email
 
-_AT, _DOT = r"(?:\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)", r"(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)"
-EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9][\w-]*(?:\.[A-Za-z0-9][\w-]*)+"
-    rf"|(?<![\w.+-])[A-Za-z0-9][\w.+%-]*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)+",
-    re.I,
-)
+# A sign or its spelling is found first; what stands before and after it makes the address.
+_AT, _SPELT_AT = re.compile("@"), re.compile(r"(?<=[\w+%-])(?:\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)", re.I)
+_SPELT_DOT = re.compile(r"\bdot\b", re.I)
+_LOCAL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*$")
+_DOMAIN = re.compile(r"[A-Za-z0-9][\w-]*(?:\.[A-Za-z0-9][\w-]*)+")
+_SPELT_DOMAIN = re.compile(r"[A-Za-z0-9][\w-]*(?:(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9][\w-]*)+", re.I)
+
+
+def _emails(text: str) -> Iterator[tuple[int, int, float]]:
+    for sign, rest in ((_AT, _DOMAIN), *([(_SPELT_AT, _SPELT_DOMAIN)] if _SPELT_DOT.search(text) else [])):
+        for m in sign.finditer(text):
+            domain = rest.match(text, m.end())
+            if domain and (local := _LOCAL.search(text, max(0, m.start() - 64), m.start())):
+                yield local.start(), domain.end(), 1.0
+
 
 # ---- phone
 
@@ -67,8 +76,9 @@ ID_LABEL = (
     r"num[ée]ro\s+de\s+s[ée]curit[ée]\s+sociale|seguro\s+social|iban|national\s+id)"
 )
 _ID_VALUE = r"(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|\d{3}[ -]?\d{2}[ -]?\d{4}|\d{3}[ -]\d{3}[ -]\d{3}|\d{8}-?[A-Z]|[A-Z]-?\d{7,8}|[A-Z]{1,2}\d{6,9}|\d{9}|\d{2}-\d{7})"
-ID_VALUE = re.compile(rf"(?<![\w-]){_ID_VALUE}(?![\w-])", re.I)
-LABEL_BEFORE = re.compile(rf"(?<!\w){ID_LABEL}\s*[:#]?\s*$", re.I)
+# Where a label may begin is found first, cheaply, in lower case.
+_LABEL_START = re.compile(r"\b(?:s(?:s|oc|in|\.i|\.s|eg)|tax|i(?:d\s|tin|ban|den|\.t)|pass|pasa|perm|driv|dl|d\.l|dni|ni[ef]|nss|curp|lice|num|nati)")
+LABELLED_ID = re.compile(rf"{ID_LABEL}\s*[:#]?\s*(?P<value>{_ID_VALUE})(?![\w-])", re.I)
 LONE_ID = re.compile(r"(?<![\w./-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])")
 _ID_WORDS = re.compile(r"\b(?:ssn|social|security|tax id|wage form|payroll|badge request|fingerprint)\b", re.I)
 _NOT_ID = re.compile(r"\b(?:serial|part|model|catalog|po|job|application|licence c)\b\W{0,3}(?:no\.?)?\W{0,3}$", re.I)
@@ -86,7 +96,10 @@ _STATES = (
 _ZIP = r"\d{5}(?:-\d{4})?(?![\d-])"
 _SEP = r"(?:\s*[,;]\s*|\s+-\s+|[^\S\n]*\r?\n|\s+)"
 _NUMBER = r"(?:(?:#|no\.?)\s*)?\d{1,5}"
-STREET = re.compile(rf"(?<![\w./:#-])(?P<unit>{_UNIT}\s*,\s*)?(?P<num>{_NUMBER})\s+(?P<body>(?:{_DIR}\s+)?[^\W\d_][\w'’]*(?:[^\S\n]+[^\W\d_][\w'’]*)?)", re.I)
+STREET = re.compile(rf"(?<![\w./:-])\d{{1,5}}\s+(?P<body>(?:{_DIR}\s+)?[^\W\d_][\w'’]*(?:[^\S\n]+[^\W\d_][\w'’]*)?)", re.I)
+_LEAD = re.compile(rf"(?<![\w./:#-])(?P<unit>{_UNIT}\s*,\s*)?(?:(?:#|\bno\.?)\s*)?$", re.I)
+_FIRST_WORD = re.compile(rf"(?:{_DIR}\s+)?[^\W\d_][\w'’]*", re.I)
+_LEADING_DIR = re.compile(rf"^(?:{_DIR}\s+)", re.I)
 _STREET_TAIL = re.compile(rf"\s+(?P<type>{_TYPE})\.?(?:\s+{_DIR}(?![\w-]))?|\s+(?:north|south|east|west|[nsew]|so|no)\b\.?(?=\s*(?:,|\n|-\s)|\s+[A-Z][a-z]+[ ,])", re.I)
 _ABBREVIATED = re.compile(r"\b(?:str|st|ave|av|blvd|boul|drv|dr|ln|rd|ct|crt|circ|cir|pkwy|pky|wy|pl|ter|hwy|sq|trl|aly|n|s|e|w|no|so|ne|nw|se|sw)$", re.I)
 _GOES_ON = re.compile(r"\s+(?:and\s+ask|complained|attention|a\s+nombre|before|after)\b|\s*[,;)]", re.I)
@@ -133,10 +146,13 @@ _LINE_START_ONLY = {"name", "name:", "as", "dear", "hi", "hello"}
 _STARTS = re.compile(r"(?:^|[\n.!?:;])\s*(?:\d{1,3}\.\s+)?$")
 _WEAK_BEFORE = re.compile(r"(?i:par|por|as|hi|inspector|foreman)\s+$")
 _SECOND = re.compile(r"(?:\s*,\s*|\s+(?i:and|y|et|or)\s+)" + _FIRST)
-AFTER_NAME = re.compile(r"(?i:['’]s crew|\s+will hold the|\s+wrote on|\s+asked for|\s+reported the|\s+confirmed by|\s+a signé)")
+AFTER_NAME = re.compile(r"(?:(?<=\s)(?:will hold the|wrote on|asked for|reported the|confirmed by|a signé)|['’]s crew)")
 _CAPITALISED = re.compile(r"(?<![\w'’.-])[A-ZÀ-ÖØ-Þ][^\W\d_]{1,}(?![\w'’-])")
 
 
+_NAME_BEFORE = re.compile(r"(?<![\w'’.-])((?:[A-ZÀ-Þ][\w'’-]+ )?(?:[A-ZÀ-Þ]\. )*[A-ZÀ-Þ][\w'’-]+)$")
+
+
 def read_name(text: str, at: int) -> tuple[int, int] | None:
     """(end, words) of a name that starts at ``at``: up to four words and initials, without possessive; None if none."""
     end, words, pos = -1, 0, at
@@ -170,10 +186,7 @@ def read_turned_name(text: str, at: int) -> int | None:
     return None
 
 
-def _names(text: str) -> Iterator[tuple[int, int, float]]:
-    lower = text.lower()
-    if len(lower) != len(text):
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+def _names(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
     for m in BEFORE_NAME.finditer(lower):
         at, lead = m.end(), m[0]
         if not text[at].isupper() or (lead.strip() in _LINE_START_ONLY and not _STARTS.search(text[max(0, m.start() - 6) : m.start()])):
@@ -191,15 +204,17 @@ def _names(text: str) -> Iterator[tuple[int, int, float]]:
             if not re.search(r"spoke|attendees", lead) or not (n := _SECOND.match(text, end)):
                 break
             at = n.end()
-    for m in AFTER_NAME.finditer(text):
-        start = max(0, m.start() - 48)
-        head = re.search(r"(?<![\w'’.-])((?:[A-ZÀ-Þ][\w'’-]+ )?(?:[A-ZÀ-Þ]\. )*[A-ZÀ-Þ][\w'’-]+)$", text[start : m.start()])
+    for m in AFTER_NAME.finditer(lower):
+        start, stop = max(0, m.start() - 48), m.start()
+        while stop > start and text[stop - 1].isspace():
+            stop -= 1
+        head = _NAME_BEFORE.search(text[start:stop])
         if head:
             at = start + head.start(1)
-            while at < m.start() and (word := _TOKEN.match(text, at)) and word[0].lower() in _STOP:
+            while at < stop and (word := _TOKEN.match(text, at)) and word[0].lower() in _STOP:
                 at = word.end() + 1
-            if at < m.start() and (found := read_name(text, at)) and found[0] == m.start():
-                yield at, m.start(), 0.8
+            if at < stop and (found := read_name(text, at)) and found[0] == stop:
+                yield at, stop, 0.8
     # A given name, an initial perhaps, and a surname: nearby words decide where the given name is a word too.
     for m in _CAPITALISED.finditer(text):
         if m[0].lower() not in GIVEN:
@@ -222,17 +237,20 @@ def _is_shouted(text: str, start: int, end: int) -> bool:
 
 def _addresses(text: str) -> Iterator[tuple[int, int, float]]:
     for m in STREET.finditer(text):
-        first = re.sub(rf"^(?:{_DIR}\s+)", "", m["body"], flags=re.I).split()
-        start, at = m.start(), m.end()
+        first = _LEADING_DIR.sub("", m["body"]).split()
+        if not first or first[0].lower() in _NOT_STREET_WORDS:
+            continue
+        lead_in = _LEAD.search(text, max(0, m.start() - 24), m.start())
+        start = lead_in.start() if lead_in else m.start()
         # The body took one or two words; the type is looked for after the first, then after the second.
         body_at = m.start("body")
-        lead = re.match(rf"(?:{_DIR}\s+)?[^\W\d_][\w'’]*", text[body_at:], re.I)
+        lead = _FIRST_WORD.match(text, body_at)
         tail = None
-        for stop in (body_at + lead.end(), m.end()):
+        for stop in (lead.end(), m.end()):
             if t := _STREET_TAIL.match(text, stop):
                 tail = t
                 break
-        end = tail.end() if tail else body_at + lead.end()
+        end = tail.end() if tail else lead.end()
         score = 0.35 if tail else 0.0
         if u := _UNIT_AFTER.match(text, end):
             end = u.end()
@@ -257,14 +275,14 @@ def _addresses(text: str) -> Iterator[tuple[int, int, float]]:
         before = _place_before(text, start)
         if before is not None:
             start, score = before, score + 0.4
-        if m["unit"]:
+        if lead_in and lead_in["unit"]:
             score += 0.15
         near = text[max(0, start - BEFORE) : start]
         if _ADDRESS_WORDS.search(near):
             score += 0.3
         if _NOT_ADDRESS.search(near):
             score -= 0.4
-        if first and (first[0].lower() in _NOT_STREET_WORDS or first[0].lower() in _STOP) or any(w.lower() in ("belt", "feet") for w in first):
+        if first[0].lower() in _STOP or any(w.lower() in ("belt", "feet") for w in first):
             score -= 0.6
         yield start, end, score
 
@@ -316,12 +334,13 @@ def _phones(text: str) -> Iterator[tuple[int, int, float]]:
         yield m.start(), m.end(), score
 
 
-def _ids(text: str) -> Iterator[tuple[int, int, float]]:
-    for m in ID_VALUE.finditer(text):
-        near = text[max(0, m.start() - BEFORE) : m.start()]
-        if not LABEL_BEFORE.search(near):
+def _ids(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
+    for at in _LABEL_START.finditer(lower):
+        m = LABELLED_ID.match(text, at.start())
+        if not m:
             continue
-        value = m[0]
+        near = text[max(0, m.start() - BEFORE) : m.start()]
+        value = m["value"]
         plain = re.sub(r"[ -]", "", value)
         score = 0.7
         if re.fullmatch(r"\d{8}[A-Za-z]", plain) and mod23(plain):
@@ -332,7 +351,7 @@ def _ids(text: str) -> Iterator[tuple[int, int, float]]:
             score += 0.2
         if _NOT_ID.search(near):
             score -= 0.5
-        yield m.start(), m.end(), score
+        yield m.start("value"), m.end("value"), score
     for m in LONE_ID.finditer(text):
         near = text[max(0, m.start() - BEFORE) : m.start()]
         yield m.start(), m.end(), 0.3 + 0.3 * bool(_ID_WORDS.search(near)) - 0.5 * bool(_NOT_ID.search(near))
@@ -342,9 +361,11 @@ def find_personal(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of each mention, in code points from 0, end exclusive, in order and without overlaps. None for null gives an empty list."""
     if not text:
         return []
-    spans = [("email", m.start(), m.end(), 1.0) for m in EMAIL.finditer(text)]
-    for kind, found in (("id_number", _ids), ("phone", _phones), ("address", _addresses), ("name", _names)):
-        spans += [(kind, s, e, w) for s, e, w in found(text) if w >= THRESHOLD]
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    proposed = (("email", _emails(text)), ("id_number", _ids(text, lower)), ("phone", _phones(text)), ("address", _addresses(text)), ("name", _names(text, lower)))
+    spans = [(kind, s, e, w) for kind, found in proposed for s, e, w in found if w >= THRESHOLD]
     rank = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
     spans.sort(key=lambda x: (rank[x[0]], -x[3], x[1] - x[2], x[1]))
     kept: list[tuple[str, int, int]] = []
