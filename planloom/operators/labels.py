@@ -26,17 +26,16 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def labelled_fields(labels: DataFrame, label: str, known: DataFrame) -> DataFrame:
-    """(label, fields): the fields whose aliases a label is alike enough; labels must be distinct.
+    """(label, fields): the fields whose aliases a label is alike enough; labels alike none are left out.
 
     ``known`` (field, alias) is a list of fixed size. It is folded into each label's row
     as an array, so each distinct label is compared once without a join.
     """
     listed = [(r["field"], r["alias"]) for r in known.distinct().orderBy("field", "alias").collect()]
-    key = label_key(F.col(label))
-    short = (F.length(label) <= LABEL_LETTERS) & (F.size(F.split(F.trim(label), r"\s+")) <= LABEL_WORDS)
+    short = labels.where((F.length(label) <= LABEL_LETTERS) & (F.size(F.split(F.trim(label), r"\s+")) <= LABEL_WORDS)).select(label, label_key(F.col(label)).alias("_key")).where(F.col("_key") != "")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, a in listed])
-    alike = F.filter(pairs, lambda p: (token_set_ratio(key, p["alias"]) >= WORDS_LEAST) | (ratio(key, p["alias"]) >= LETTERS_LEAST))
-    return labels.select(label, F.when(short & (key != ""), F.array_sort(F.array_distinct(F.transform(alike, lambda p: p["field"])))).otherwise(F.array().cast("array<string>")).alias("fields"))
+    alike = F.filter(pairs, lambda p: (token_set_ratio(F.col("_key"), p["alias"]) >= WORDS_LEAST) | (ratio(F.col("_key"), p["alias"]) >= LETTERS_LEAST))
+    return short.select(label, F.explode(alike).alias("_p")).groupBy(label).agg(F.array_sort(F.collect_set("_p.field")).alias("fields"))
 
 
 def map_labels(docs: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -50,7 +49,7 @@ def map_labels(docs: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFr
     lines = docs.select(doc, F.explode("lines").alias("_l")).select(doc, "_l.line_no", "_l.text")
     parted = lines.withColumn("_left", F.when(F.col("text").contains(":"), F.regexp_extract("text", r"^([^:]*):", 1))).withColumn("_right", F.when(F.col("text").contains(":"), F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1))))
     typed = parted.select(F.explode(F.array("text", "_left")).alias("label")).where(F.col("label").isNotNull()).distinct()
-    fields = labelled_fields(typed, "label", known).where(F.size("fields") > 0)
+    fields = labelled_fields(typed, "label", known)
     whole, left = fields.select(F.col("label").alias("text"), F.col("fields").alias("_whole")), fields.select(F.col("label").alias("_left"), F.col("fields").alias("_inline"))
     told = parted.join(whole, "text", "left").join(left, "_left", "left")
     inline = F.col("_inline").isNotNull() & (F.col("_right") != "")
