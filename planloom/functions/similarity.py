@@ -32,11 +32,22 @@ def ratio(a: Column, b: Column) -> Column:
     return 100.0 * lcs_ratio(a, b)
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0 to 100 of the word sets: 100 if one holds the other, else the best of common words and each side's rest."""
+def ratio_from(a: Column, b: Column, least: float) -> Column:
+    """``ratio`` where it reaches ``least``, else 0.
+
+    A ratio r leaves (1 - r/100) of both lengths unmatched, and no alignment needs more
+    edits than that: the built-in edit distance rules most pairs out before the costly ratio.
+    """
+    return F.when(a == b, 100.0).when(F.levenshtein(a, b) <= F.floor((100 - least) / 100 * (F.length(a) + F.length(b))), F.when(ratio(a, b) >= least, ratio(a, b)).otherwise(0.0)).otherwise(0.0)
+
+
+def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Similarity 0 to 100 of the word sets: 100 if one holds the other, else the best of common words and each side's rest; 0 below ``least``."""
     wa, wb = (F.array_sort(F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))) for x in (a, b))
     common, only_a, only_b = F.array_join(F.array_intersect(wa, wb), " "), F.array_join(F.array_except(wa, wb), " "), F.array_join(F.array_except(wb, wa), " ")
     left, right = F.trim(F.concat_ws(" ", common, only_a)), F.trim(F.concat_ws(" ", common, only_b))
     inside = (common != "") & ((only_a == "") | (only_b == ""))
-    with_common = F.when(common != "", F.greatest(ratio(common, left), ratio(common, right))).otherwise(0.0)
-    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).when(inside, 100.0).otherwise(F.greatest(ratio(left, right), with_common))
+    # The common words begin each side, so their ratio to it follows from the lengths.
+    part = lambda whole: 200.0 * F.length(common) / (F.length(common) + F.length(whole))
+    best = F.greatest(F.when(common != "", F.greatest(part(left), part(right))).otherwise(0.0), ratio_from(left, right, least))
+    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).when(inside, 100.0).otherwise(F.when(best >= least, best).otherwise(0.0))

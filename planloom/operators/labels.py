@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.functions.similarity import ratio, token_set_ratio
+from planloom.functions.similarity import ratio_from, token_set_ratio
 from planloom.functions.text import label_key
+from planloom.session import materialise
 
 #: Fields and the labels that name them. Fixed values.
 ALIASES = {
@@ -34,7 +35,7 @@ def labelled_fields(labels: DataFrame, label: str, known: DataFrame) -> DataFram
     listed = [(r["field"], r["alias"]) for r in known.distinct().orderBy("field", "alias").collect()]
     short = labels.where((F.length(label) <= LABEL_LETTERS) & (F.size(F.split(F.trim(label), r"\s+")) <= LABEL_WORDS)).select(label, label_key(F.col(label)).alias("_key")).where(F.col("_key") != "")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, a in listed])
-    alike = F.filter(pairs, lambda p: (token_set_ratio(F.col("_key"), p["alias"]) >= WORDS_LEAST) | (ratio(F.col("_key"), p["alias"]) >= LETTERS_LEAST))
+    alike = F.filter(pairs, lambda p: (ratio_from(F.col("_key"), p["alias"], LETTERS_LEAST) > 0) | (token_set_ratio(F.col("_key"), p["alias"], WORDS_LEAST) > 0))
     return short.select(label, F.explode(alike).alias("_p")).groupBy(label).agg(F.array_sort(F.collect_set("_p.field")).alias("fields"))
 
 
@@ -49,7 +50,7 @@ def map_labels(docs: DataFrame, known: DataFrame, doc: str = "doc_id") -> DataFr
     lines = docs.select(doc, F.explode("lines").alias("_l")).select(doc, "_l.line_no", "_l.text")
     parted = lines.withColumn("_left", F.when(F.col("text").contains(":"), F.regexp_extract("text", r"^([^:]*):", 1))).withColumn("_right", F.when(F.col("text").contains(":"), F.trim(F.regexp_extract("text", r"^[^:]*:(.*)$", 1))))
     typed = parted.select(F.explode(F.array("text", "_left")).alias("label")).where(F.col("label").isNotNull()).distinct()
-    fields = labelled_fields(typed, "label", known)
+    fields = materialise(labelled_fields(typed, "label", known), "labels")
     whole, left = fields.select(F.col("label").alias("text"), F.col("fields").alias("_whole")), fields.select(F.col("label").alias("_left"), F.col("fields").alias("_inline"))
     told = parted.join(whole, "text", "left").join(left, "_left", "left")
     inline = F.col("_inline").isNotNull() & (F.col("_right") != "")
