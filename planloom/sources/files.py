@@ -36,12 +36,12 @@ def rates_from_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def pdf_files(spark: SparkSession, path: str, most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) PDF files of a folder by name, size and first bytes; a reject has the reason in ``error``."""
+    """(accepted, rejected) PDF files of a folder by name, size and first bytes; a reject has the reason in ``error``.
+
+    Files of no bytes have no content to offer: the file source doesn't deliver them, so they are in neither.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path)
-    error = F.when(F.col("length") == 0, "empty file")
-    if most_bytes is not None:
-        error = error.when(F.col("length") > most_bytes, "file too large")
-    error = error.when(F.substring("content", 1, len(MAGIC)) != F.lit(MAGIC), "not a PDF")
+    error = F.when(F.col("length") > (most_bytes if most_bytes is not None else 1 << 62), "file too large").when(F.substring("content", 1, len(MAGIC)) != F.lit(MAGIC), "not a PDF")
     told = files.withColumn("error", error).dropDuplicates(["path"])
     return told.where(F.col("error").isNull()).drop("error"), told.where(F.col("error").isNotNull()).drop("content")
 
