@@ -97,7 +97,7 @@ def typed_organisations(counted: DataFrame) -> DataFrame:
     owner = F.exists("_w", lambda w: w["kind"] == "owner")
     letter = F.create_map(*[x for k, v in _DIRECTION.items() for x in (F.lit(k), F.lit(v))])
     # One letter before an owner's name is a direction, before a person's an initial.
-    directions = F.transform(F.filter("_w", lambda w: (w["kind"] == "direction") | (owner & w["word"].isin("n", "s", "e", "w") & (w["pos"] < 3))), lambda w: F.coalesce(F.try_element_at(letter, F.coalesce(w["known"], w["word"])), F.upper(w["word"])))
+    directions = F.transform(F.filter("_w", lambda w: (w["kind"] == "direction") | (owner & w["word"].isin("n", "s", "e", "w") & (w["pos"] < 5))), lambda w: F.coalesce(F.try_element_at(letter, F.coalesce(w["known"], w["word"])), F.upper(w["word"])))
     names = F.transform(F.filter("_w", lambda w: (w["kind"] == "name") & (F.length(w["word"]) > 1)), lambda w: smooth(w["word"]))
     parsed = whole.select("raw", F.coalesce(F.try_element_at(directions, F.lit(1)), F.lit("")).alias("direction"), names.alias("names"))
     return parsed.where(F.size("names") > 0).join(counted, "raw")
