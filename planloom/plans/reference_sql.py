@@ -41,6 +41,12 @@ ranked AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY o)
 SELECT doc_id, position::INT AS position, v AS entry FROM ranked WHERE position <= {most}"""
 
 
+def _sentence(x: str) -> str:
+    return f"CASE WHEN length({x}) > 20 AND upper({x}) = {x} AND lower({x}) <> {x} THEN upper({x}[1:1]) || lower({x}[2:]) ELSE {x} END"
+
+
+_LISTS = (("Project Summary", "project_summary"), ("Limits of Work", "limits_of_work"), ("Applicable Codes", "applicable_codes"), ("Bid Alternates", "alternates"), ("Notes", "notes"))
+
 SQL = {
     "text_lines": f"WITH {_LINES} SELECT doc_id, line_no, text FROM lines",
     "page_stats": f"""WITH {_LINES}, n AS (SELECT doc_id, count(*) AS lines FROM lines GROUP BY doc_id)
@@ -104,4 +110,17 @@ SELECT doc_id, CASE WHEN length(e) >= 7 THEN e END AS digits, {_SHOWN.format(d="
 SELECT l.id, l.project_id, l.device_type, coalesce(v.count, l.count) AS count, l.detected_count FROM device_lines l LEFT JOIN v ON v.line_id = l.id AND v.rn = 1""",
     "lines_left": "SELECT id, project_id, device_type FROM device_lines WHERE project_id NOT IN (SELECT id FROM projects WHERE status = 'failed')",
     "lines_replaced": f"SELECT project_id, device_type, detected_count FROM device_lines UNION ALL SELECT doc_id, device_type, detected::INT FROM ({_DISTINCT_DETECTIONS}) WHERE doc_id NOT IN (SELECT project_id FROM device_lines)",
+    "consultants_distinct": f"""WITH c AS (SELECT doc_id, unnest(consultants) AS c, generate_subscripts(consultants, 1) AS line_no FROM requirement),
+named AS (SELECT doc_id, line_no, trim(c.discipline) || ' — ' || trim(c.firm) AS entry FROM c WHERE trim(c.discipline) <> '' AND trim(c.firm) <> ''), {_ordered("named", "entry", 12)}""",
+    "cleaned_titles": rf"""WITH t AS (SELECT doc_id, client, trim(regexp_replace(project_title, '\s+', ' ', 'g')) AS x FROM requirement), u AS (SELECT doc_id, client, {_sentence("x")} AS y FROM t WHERE x <> '')
+SELECT doc_id, CASE WHEN length(y) > 40 THEN rtrim(y[1:39]) || '…' ELSE y END AS title, coalesce({_BLANK.format(x="client")}, 'Not found in drawing') AS client FROM u""",
+    "report_sections": "WITH p AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{h}' AS heading, list_filter(coalesce({c}, []), lambda i: {_BLANK.format(x='i')} IS NOT NULL) AS items FROM requirement" for i, (h, c) in enumerate(_LISTS))
+    + f"""), q AS (SELECT doc_id, heading, items, row_number() OVER (PARTITION BY doc_id ORDER BY ord)::INT AS section_no FROM p WHERE len(items) > 0),
+r AS (SELECT doc_id, section_no, heading, generate_subscripts(items, 1)::INT AS seq, trim(unnest(items)) AS x FROM q) SELECT doc_id, section_no, heading, seq, {_sentence("x")} AS text FROM r""",
+    "two_line_addresses": rf"""WITH {_LINES}, t AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY line_no) AS follower FROM lines),
+e AS (SELECT doc_id, line_no, regexp_replace(text, '[\s,;]+$', '') || ', ' || follower AS entry FROM t WHERE regexp_matches(text, '^[0-9]{{1,6}}\s+[A-Z0-9][\w\s.,#''-]{{3,80}}$', 'i')
+  AND regexp_matches(follower, '\b[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b', 'i') AND NOT regexp_matches(text, '\b[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b', 'i')),
+first AS (SELECT doc_id, regexp_replace(upper(entry), '[^A-Z0-9]', '', 'g') AS k, min(line_no) AS o, arg_min(entry, line_no) AS v FROM e GROUP BY ALL), ranked AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position FROM first)
+SELECT doc_id, position::INT AS position, v AS entry FROM ranked WHERE position <= 4""",
 }
