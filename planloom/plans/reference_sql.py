@@ -41,6 +41,16 @@ ranked AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY o)
 SELECT doc_id, position::INT AS position, v AS entry FROM ranked WHERE position <= {most}"""
 
 
+_JOB, _LICENSE, _STATE = r"\b([0-9]{4,6}\.[0-9]{2})\b", r"\b(C-[0-9]{4,6})\b", r"\b(0[0-9]-[0-9]{5,7})\b"
+_STATUS = r"\b(CONSTRUCTION\s+DOCUMENTS?|BID\s+SET|FOR\s+BID|DSA\s+SUBMITTAL|ISSUED\s+FOR\s+[A-Z][A-Z\s]{2,40})\b"
+_WORK = r"\b(ROOF\s+RESTORATION|ROOF\s+REPLACEMENT|MODERNIZATION(?:\s*&\s*SITE\s+IMPROVEMENTS?)?|SITE\s+IMPROVEMENTS?|INFRASTRUCTURE\s+UPGRADE|HVAC\s+REPLACEMENT)\b"
+
+
+def _title(x: str) -> str:
+    """Title case of words of letters between single blanks."""
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+
+
 def _sentence(x: str) -> str:
     return f"CASE WHEN length({x}) > 20 AND upper({x}) = {x} AND lower({x}) <> {x} THEN upper({x}[1:1]) || lower({x}[2:]) ELSE {x} END"
 
@@ -123,4 +133,13 @@ e AS (SELECT doc_id, line_no, regexp_replace(text, '[\s,;]+$', '') || ', ' || fo
   AND regexp_matches(follower, '\b[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b', 'i') AND NOT regexp_matches(text, '\b[A-Z]{{2}}\s+[0-9]{{5}}(?:-[0-9]{{4}})?\b', 'i')),
 first AS (SELECT doc_id, regexp_replace(upper(entry), '[^A-Z0-9]', '', 'g') AS k, min(line_no) AS o, arg_min(entry, line_no) AS v FROM e GROUP BY ALL), ranked AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position FROM first)
 SELECT doc_id, position::INT AS position, v AS entry FROM ranked WHERE position <= 4""",
+    "header_fields": f"""WITH {_LINES}, t AS (SELECT doc_id, line_no, nullif(regexp_extract(text, '{_JOB}', 1), '') AS job, nullif(upper(regexp_extract(text, '{_LICENSE}', 1, 'i')), '') AS lic,
+  CASE WHEN length(text) <= 60 AND len(regexp_extract_all(text, '{_STATE}')) <= 1 AND NOT regexp_matches(text, '\\((?:E)\\)|\\b(RAMP|RESTROOM|SOLAR|PLAYGROUND|PARKING|BUILDING|BLDG)\\b', 'i') THEN nullif(regexp_extract(text, '{_STATE}', 1), '') END AS num,
+  nullif(regexp_extract(text, '{_PHONE}'), '') AS ph, nullif(regexp_extract(text, '{_STATUS}', 1, 'i'), '') AS st, nullif(regexp_replace(regexp_extract(text, '{_WORK}', 1, 'i'), '\\s+', ' ', 'g'), '') AS wt, nullif(regexp_extract(text, '{_DATE}', 1, 'i'), '') AS dt FROM lines),
+f AS (SELECT doc_id, arg_min(job, line_no) FILTER (WHERE job IS NOT NULL) AS job_number, arg_min(lic, line_no) FILTER (WHERE lic IS NOT NULL) AS license, arg_min(num, line_no) FILTER (WHERE num IS NOT NULL) AS state_number,
+  arg_min(ph, line_no) FILTER (WHERE ph IS NOT NULL) AS x, arg_min(st, line_no) FILTER (WHERE st IS NOT NULL) AS st, arg_min(wt, line_no) FILTER (WHERE wt IS NOT NULL) AS wt, arg_min(dt, line_no) FILTER (WHERE dt IS NOT NULL) AS date_text FROM t GROUP BY doc_id),
+n AS (SELECT *, {_DIGITS.format(x="x")} AS d, upper(regexp_replace(st, '\\s+', ' ', 'g')) AS s FROM f)
+SELECT doc_id, job_number, license, state_number, CASE WHEN x IS NOT NULL THEN {_SHOWN.format(d="d", x="x")} END AS phone,
+  CASE WHEN contains(s, 'CONSTRUCTION DOCUMENT') THEN 'Construction Document' WHEN contains(s, 'BID SET') OR s = 'FOR BID' THEN 'Bid Set' WHEN contains(s, 'DSA SUBMITTAL') THEN 'DSA Submittal' ELSE {_title("trim(s)")} END AS status,
+  {_title("wt")} AS work_type, date_text FROM n WHERE coalesce(job_number, license, state_number, x, st, wt, date_text) IS NOT NULL""",
 }
