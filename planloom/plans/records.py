@@ -44,7 +44,7 @@ def _unpacked_sql(field: str, how: Packing) -> str:
     cut = f"list_transform(string_split(regexp_replace({piece}, {text(how.strong)}, {text(CUT)}, 'g'), {text(CUT)}), lambda t: regexp_replace(t, {text(r'^(?:[[:space:];,|/•&]|-[[:space:]])+|[[:space:];,|/•&]+$')}, '', 'g'))"
     return f"""SELECT doc_id, '{field}' AS field_name, entry_no::INT AS entry_no, unnest(v) AS value_text, generate_subscripts(v, 1)::INT AS value_no FROM (
   SELECT doc_id, entry_no, list_filter(list_transform(flatten(list_transform(string_split({mark(mark(f"replace(e, {text(chr(34) * 2)}, {text(DOUBLED)})"))}, {text(QUOTE)}), lambda p, i: CASE WHEN i % 2 = 0 THEN [trim(p)] ELSE {cut} END)),
-    lambda t: regexp_replace(replace(t, {text(DOUBLED)}, chr(34)), '^\s+|\s+$', '', 'g')), lambda t: t <> '' AND NOT regexp_matches(t, {text('^(?:[Aa][Nn][Dd]|[[:space:];,|/•&"]*)$')})) AS v
+    lambda t: regexp_replace(replace(t, {text(DOUBLED)}, chr(34)), '^[[:space:]]+|[[:space:]]+$', '', 'g')), lambda t: t <> '' AND NOT regexp_matches(t, {text('^(?:[Aa][Nn][Dd]|[[:space:];,|/•&"]*)$')})) AS v
   FROM (SELECT doc_id, unnest({field}) AS e, generate_subscripts({field}, 1) AS entry_no FROM requirement) WHERE e IS NOT NULL) WHERE len(v) >= 2"""
 
 

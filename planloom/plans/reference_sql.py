@@ -142,4 +142,10 @@ n AS (SELECT *, {_DIGITS.format(x="x")} AS d, upper(regexp_replace(st, '\\s+', '
 SELECT doc_id, job_number, license, state_number, CASE WHEN x IS NOT NULL THEN {_SHOWN.format(d="d", x="x")} END AS phone,
   CASE WHEN contains(s, 'CONSTRUCTION DOCUMENT') THEN 'Construction Document' WHEN contains(s, 'BID SET') OR s = 'FOR BID' THEN 'Bid Set' WHEN contains(s, 'DSA SUBMITTAL') THEN 'DSA Submittal' ELSE {_title("trim(s)")} END AS status,
   {_title("wt")} AS work_type, date_text FROM n WHERE coalesce(job_number, license, state_number, x, st, wt, date_text) IS NOT NULL""",
+    "report_json": "SELECT id, '{' || array_to_string(list_filter([" + ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c}) END""" for c in ("id", "title", "client", "architect")) + "], lambda x: x IS NOT NULL), ',') || '}' AS report FROM projects",
+    "stamp_firms": f"""WITH n AS (SELECT doc_id, trim(provider_company) AS firm, provider_address AS y, {_DIGITS.format(x="provider_phone")} AS d FROM requirement), l AS (SELECT *, CASE WHEN length(d) = 11 AND d[1] = '1' THEN d[2:] ELSE d END AS e FROM n),
+r AS (SELECT doc_id, firm, list_distinct(list_concat(CASE WHEN length(e) >= 7 THEN [right(e, 10), right(e, 7)] ELSE [] END, list_filter(regexp_split_to_array(lower(coalesce(y, '')), '[^a-z0-9]+'), lambda w: length(w) > 1))) AS tokens FROM l),
+named AS (SELECT DISTINCT firm, unnest(tokens) AS token FROM r WHERE firm <> '' AND upper(firm) NOT IN ('N/A', 'TBD')), alone AS (SELECT token, min(firm) AS firm FROM named GROUP BY token HAVING count(*) = 1),
+bare AS (SELECT doc_id, unnest(tokens) AS token FROM r WHERE coalesce(firm, '') IN ('', 'N/A', 'TBD')), shared AS (SELECT doc_id, firm, count(*) AS k FROM bare JOIN alone USING (token) GROUP BY ALL HAVING count(*) >= 2)
+SELECT doc_id, firm FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, firm DESC) AS rn FROM shared) WHERE rn = 1""",
 }
