@@ -108,7 +108,10 @@ def _suffix(text: Column) -> Column:
 
 
 def suffix_blocks(cores: DataFrame) -> DataFrame:
-    """Cores under each of their block keys: the suffix of each word and of the whole name, refined by the rest of the name where the suffix is overly common. No candidate is dropped."""
+    """Cores under each of their block keys: the suffix of each word and of the whole name, refined by the rest of the name where the suffix is overly common.
+
+    No block is dropped or capped. Within an overly common suffix a pair is met if the rests agree in their first or last REFINE letters.
+    """
     parts = F.concat(F.transform("names", lambda w, i: F.struct(w.alias("word"), F.array_join(F.filter("names", lambda o, j: j != i), "").alias("other"))), F.array(F.struct(F.col("whole").alias("word"), F.col("whole").alias("other"))))
     keyed = cores.select("id", F.explode(parts).alias("_p"), "direction").select("id", F.concat_ws("|", "direction", F.right(F.col("_p.word"), F.lit(SUFFIX))).alias("key"), F.col("_p.other").alias("other")).distinct()
     size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > COMMON).select("key", F.lit(True).alias("_common"))
