@@ -21,10 +21,8 @@ from planloom.session import materialise, spread
 
 #: Shortest suffix that is indexed; a shorter word is its own suffix.
 SUFFIX = 8
-#: A suffix held by more names than this is overly common and is refined by the rest of the name.
+#: A suffix held by more names than this is overly common; its block is cut into slices of about so many, and every slice is paired with every other.
 COMMON = 40
-#: Letters at the start and at the end of the rest of a name by which a common suffix is refined; either may hold an error, not both.
-REFINE = 5
 #: Least ratio of two words, and of two whole names one of which is written as one word.
 WORD_RATIO, WHOLE_RATIO = 0.84, 0.9
 #: Where both words of a name differ, a word may be less alike (0.7) if the name as a whole reaches this.
@@ -108,17 +106,16 @@ def _suffix(text: Column) -> Column:
 
 
 def suffix_blocks(cores: DataFrame) -> DataFrame:
-    """Cores under each of their block keys: the suffix of each word and of the whole name, refined by the rest of the name where the suffix is overly common.
+    """Cores under each of their block keys: the suffix of each word and of the whole name, with the core's slice and how many slices the block has.
 
-    No block is dropped or capped. Within an overly common suffix a pair is met if the rests agree in their first or last REFINE letters.
+    No block is dropped, capped or thinned: an overly common suffix has more slices, so
+    that no task holds its block, and all its pairs are compared.
     """
-    parts = F.concat(F.transform("names", lambda w, i: F.struct(w.alias("word"), F.array_join(F.filter("names", lambda o, j: j != i), "").alias("other"))), F.array(F.struct(F.col("whole").alias("word"), F.col("whole").alias("other"))))
-    keyed = cores.select("id", F.explode(parts).alias("_p"), "direction").select("id", F.concat_ws("|", "direction", F.right(F.col("_p.word"), F.lit(SUFFIX))).alias("key"), F.col("_p.other").alias("other")).distinct()
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > COMMON).select("key", F.lit(True).alias("_common"))
-    keyed = materialise(keyed.join(size, "key", "left"), "suffix-keys")
-    plain = keyed.where(F.col("_common").isNull()).select("id", "key")
-    refined = keyed.where(F.col("_common")).select("id", F.explode(F.array(F.concat(F.col("key"), F.lit("|<"), F.left("other", F.lit(REFINE))), F.concat(F.col("key"), F.lit("|>"), F.right("other", F.lit(REFINE))))).alias("key"))
-    return materialise(plain.unionByName(refined).distinct().join(cores, "id").select("key", "id", "n", "names", "whole"), "suffix-blocks")
+    ends = F.transform(F.concat("names", F.array("whole")), lambda w: F.concat_ws("|", "direction", _suffix(w)))
+    keyed = materialise(cores.select("id", F.explode(F.array_distinct(ends)).alias("key")), "suffix-keys")
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    sliced = keyed.join(size, "key").withColumn("slices", F.ceil(F.col("_n") / max(COMMON, 1)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    return materialise(sliced.drop("_n").join(cores, "id").select("key", "slices", "slice", "id", "n", "names", "whole"), "suffix-blocks")
 
 
 def organisation_of(records: DataFrame, key: str, name: str) -> DataFrame:
@@ -142,8 +139,12 @@ def best_parents(cores: DataFrame) -> DataFrame:
     """(id, parent): for each core the most alike core that is more frequent, if any is alike enough."""
     words = cores.select("n", F.explode(F.array_distinct("names")).alias("word")).groupBy("word").agg(F.sum("n").alias("f"))
     blocks = suffix_blocks(cores)
-    a, b = (spread(blocks.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "names", "whole")]), "key") for side in "ab")
-    both = a.join(b, "key").where(F.col("a_id") < F.col("b_id"))
+    others = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    a, b = (
+        spread(blocks.select("key", F.col("slice").alias(own), others.alias(other), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "names", "whole")]), "key", "_i", "_j")
+        for side, own, other in (("a", "_i", "_j"), ("b", "_j", "_i"))
+    )
+    both = a.join(b, ["key", "_i", "_j"]).where(F.col("a_id") < F.col("b_id"))
     # Pairs that are certainly too far are dropped by the built-in distance first: a ratio r of words of total length t
     # leaves (1 - r) * t letters unmatched, and no alignment needs more edits than that.
     total = F.length("a_whole") + F.length("b_whole")
@@ -157,7 +158,7 @@ def best_parents(cores: DataFrame) -> DataFrame:
     each = [F.col(f"_e{n}") <= F.floor((1 - WORD_RATIO) * (F.length(f"_a{n}") + F.length(f"_b{n}"))) for n in (0, 1)]
     both = both.where(F.when(F.col("_two"), (each[0] & each[1]) | ((F.col("_e0") > 0) & (F.col("_e1") > 0) & (F.col("_e0") + F.col("_e1") <= F.floor((1 - TWO_WORDS_RATIO) * total)))).otherwise(near))
     # The join's output is filtered where it is made; what is left is little, and only that is made distinct.
-    both = spread(both.drop("key").dropDuplicates(["a_id", "b_id"]), "a_id")
+    both = spread(both.drop("key", "_i", "_j").dropDuplicates(["a_id", "b_id"]), "a_id")
     for n in (0, 1):
         both = both.withColumn(f"_r{n}", F.when(F.col("_two"), lcs_ratio(F.col(f"_a{n}"), F.col(f"_b{n}"))))
     ratio = F.when(F.col("_two"), (F.col("_r0") * F.length("_a0") + F.col("_r1") * F.length("_a1")) / (F.length("_a0") + F.length("_a1"))).otherwise(lcs_ratio(F.col("a_whole"), F.col("b_whole")))

@@ -1,3 +1,6 @@
+import itertools
+
+import planloom.llm.organisations as organisations
 from planloom.llm.forest import roots_of
 from planloom.llm.organisations import organisation_of
 from planloom.llm.pairs import SLICE, class_pairs
@@ -63,3 +66,23 @@ def test_a_large_class_is_sliced(spark, monkeypatch):
     df = pairs.class_pairs(spark.createDataFrame(data, "key string, raw string, cls string"), "cls")
     rows = [tuple(r) for r in df.collect()]
     assert len(rows) == len(set(rows)) == sum(1 for a, u, _ in data for b, v, _ in data if a < b and u != v)
+
+
+def test_common_blocks_in_slices_of_one_against_whole_blocks(spark, monkeypatch):
+    monkeypatch.setattr(organisations, "COMMON", 0)
+    rest = ["".join(p) for p in itertools.product(("bom", "kel"), ("lus", "fen"), ("ka", "dim"))] + ["bomlusk", "bomusk", "bolmusk", "klefenka"]
+    cores = [(f"|{x} wauststalen", 1 + i % 3, "", [x, "wauststalen"], f"wauststalen{x}") for i, x in enumerate(rest)]
+    df = spark.createDataFrame(cores, "id string, n long, direction string, names array<string>, whole string")
+    blocks = organisations.suffix_blocks(df).where("key = '|ststalen'").collect()
+    assert sorted(r["id"] for r in blocks) == sorted(c[0] for c in cores) and all(0 <= r["slice"] < r["slices"] for r in blocks)
+    got = {r["id"]: r["parent"] for r in organisations.best_parents(df).collect()}
+    monkeypatch.setattr(organisations, "COMMON", 1_000_000)
+    assert got and got == {r["id"]: r["parent"] for r in organisations.best_parents(df).collect()}
+
+
+def test_an_edit_in_the_middle_of_the_rest_is_met_in_a_common_block(spark):
+    syllables = ("bal", "cor", "dim", "fen", "gyr", "hox", "jup")
+    data = [(f"m{i}", f"Wauststalen & {x}{y}") for i, (x, y) in enumerate(itertools.product(syllables, syllables))]
+    data += [("a0", "Wauststalen & Bomlusk"), ("a1", "Wauststalen & Bomlusk"), ("b", "Wauststalen & Bomusk")]
+    got = {r["key"]: r["organisation"] for r in organisation_of(spark.createDataFrame(data, "k string, v string"), "k", "v").collect()}
+    assert got["a0"] == got["a1"] == got["b"] != got["m0"]
