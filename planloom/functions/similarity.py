@@ -27,6 +27,11 @@ def lcs_ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
 
 
+def edits_within(least: float, total: Column) -> Column:
+    """Edits that words of this total length may need if their ``lcs_ratio`` reaches ``least``; never one too few by floating point."""
+    return F.floor((1 - least) * total + 1e-9)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Similarity 0 to 100 of two strings: the share of letters in their longest common subsequence."""
     return 100.0 * lcs_ratio(a, b)

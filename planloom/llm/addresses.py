@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.similarity import lcs_ratio
+from planloom.functions.similarity import edits_within, lcs_ratio
 from planloom.llm.canonical import despaced
 from planloom.llm.forest import roots_of
 from planloom.llm.organisations import smooth
@@ -108,7 +108,7 @@ def agreement(a, b) -> dict[str, Column]:
         return F.when(a(part).isNull() | b(part).isNull(), F.when(a(part).isNull() & b(part).isNull(), 0).otherwise(1)).when(a(part) == b(part), 0).otherwise(2)
 
     def near(x: Column, y: Column) -> Column:
-        close = F.levenshtein(x, y) <= F.floor((1 - ALIKE) * (F.length(x) + F.length(y)))
+        close = F.levenshtein(x, y) <= edits_within(ALIKE, F.length(x) + F.length(y))
         return F.when(close, lcs_ratio(x, y) >= ALIKE).otherwise(F.lit(False))
 
     street = F.when(a("street") == b("street"), 0).when(near(a("street"), b("street")), 1).otherwise(2)

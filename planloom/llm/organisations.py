@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.functions.similarity import lcs_ratio
+from planloom.functions.similarity import edits_within, lcs_ratio
 from planloom.llm.canonical import despaced
 from planloom.llm.forest import roots_of
 from planloom.llm.pigeonhole import pigeonhole_candidates
@@ -148,15 +148,15 @@ def best_parents(cores: DataFrame) -> DataFrame:
     # Pairs that are certainly too far are dropped by the built-in distance first: a ratio r of words of total length t
     # leaves (1 - r) * t letters unmatched, and no alignment needs more edits than that.
     total = F.length("a_whole") + F.length("b_whole")
-    near = F.levenshtein("a_whole", "b_whole") <= F.floor((1 - WHOLE_RATIO) * total)
+    near = F.levenshtein("a_whole", "b_whole") <= edits_within(WHOLE_RATIO, total)
     two = (F.size("a_names") == 2) & (F.size("b_names") == 2)
     a0, a1, b0, b1 = (F.get(side, F.lit(i)) for side in ("a_names", "b_names") for i in (0, 1))
     both = both.withColumn("_two", two).withColumn("_turn", two & (F.levenshtein(a0, b1) + F.levenshtein(a1, b0) < F.levenshtein(a0, b0) + F.levenshtein(a1, b1)))
     for n, (x, y, z) in enumerate(((a0, b0, b1), (a1, b1, b0))):
         both = both.withColumn(f"_a{n}", F.when(F.col("_two"), x)).withColumn(f"_b{n}", F.when(F.col("_two"), F.when(F.col("_turn"), z).otherwise(y)))
         both = both.withColumn(f"_e{n}", F.levenshtein(f"_a{n}", f"_b{n}"))
-    each = [F.col(f"_e{n}") <= F.floor((1 - WORD_RATIO) * (F.length(f"_a{n}") + F.length(f"_b{n}"))) for n in (0, 1)]
-    both = both.where(F.when(F.col("_two"), (each[0] & each[1]) | ((F.col("_e0") > 0) & (F.col("_e1") > 0) & (F.col("_e0") + F.col("_e1") <= F.floor((1 - TWO_WORDS_RATIO) * total)))).otherwise(near))
+    each = [F.col(f"_e{n}") <= edits_within(WORD_RATIO, F.length(f"_a{n}") + F.length(f"_b{n}")) for n in (0, 1)]
+    both = both.where(F.when(F.col("_two"), (each[0] & each[1]) | ((F.col("_e0") > 0) & (F.col("_e1") > 0) & (F.col("_e0") + F.col("_e1") <= edits_within(TWO_WORDS_RATIO, total)))).otherwise(near))
     # The join's output is filtered where it is made; what is left is little, and only that is made distinct.
     both = spread(both.drop("key", "_i", "_j").dropDuplicates(["a_id", "b_id"]), "a_id")
     for n in (0, 1):

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from planloom.llm.addresses import LEVELS, PARTS, building_of, estimate_weights, taken_apart
+from planloom.functions.similarity import edits_within
+from planloom.llm.addresses import ALIKE, LEVELS, PARTS, agreement, building_of, estimate_weights, taken_apart
 
 SAME = [
     ["421 Skusmelen Avenue, Suite 337, Pleirtstaby Falls, CA 92205", "#337, 421 SKUSMELEN AVE, PLEIRTSTABY FALLS 92205", "421 Skusemlen, Ste 337; Pleirtstaby Falls, CA 92205-5873", "Pleirtstaby Falls, California 92205 - 421 Skusmelen Av.", "# 421 Skusme1en Ave. 92205"],
@@ -49,3 +50,14 @@ def test_weights_tell_matches_from_chance():
     assert posterior[match] > 0.99 and posterior[(1, 1, 0, 0)] > 0.9 and posterior[chance] < 0.1
     assert len(tables) == len(LEVELS)
     assert estimate_weights([], [])[0] == {}
+
+
+def test_the_bound_before_the_ratio_is_not_one_too_few(spark):
+    rows = [("abcde", "abdce"), ("abcdefghij", "badcefghij"), ("abcde", "abxyz")]
+    df = spark.createDataFrame(rows, "a_street string, b_street string").select("*", *[F.lit(None).cast("string").alias(f"{s}_{p}") for s in "ab" for p in PARTS if p != "street"])
+    level = agreement(lambda p: F.col(f"a_{p}"), lambda p: F.col(f"b_{p}"))["street"]
+    assert {r["a_street"] + r["b_street"]: r["level"] for r in df.select("*", level.alias("level")).collect()} == {a + b: x for (a, b), x in zip(rows, (1, 1, 2))}
+    total = spark.range(1, 200)
+    for least, per in ((ALIKE, 20), (0.9, 10), (0.84, 16)):
+        whole = F.floor(F.col("id") * per / 100)
+        assert total.where(edits_within(least, F.col("id")) != whole).count() == 0
