@@ -80,6 +80,8 @@ _ID_VALUE = r"(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|\d{3}[
 _LABEL_START = re.compile(r"\b(?:s(?:s|oc|in|\.i|\.s|eg)|tax|i(?:d\s|tin|ban|den|\.t)|pass|pasa|perm|driv|dl|d\.l|dni|ni[ef]|nss|curp|lice|num|nati)")
 LABELLED_ID = re.compile(rf"{ID_LABEL}\s*[:#]?\s*(?P<value>{_ID_VALUE})(?![\w-])", re.I)
 LONE_ID = re.compile(r"(?<![\w./-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])")
+# Numbers in a form that a checksum can confirm; the words near them alone don't make them a person's.
+CHECKED_ID = re.compile(r"\d(?<![\w./-]\d)(?<!\d \d)(?:\d\d([ -]?)\d{3}\1\d{3}|\d{7}-?[A-Za-z])(?![\w-]| ?\d|\.\d)")
 _ID_WORDS = re.compile(r"\b(?:ssn|social|security|tax id|wage form|payroll|badge request|fingerprint)\b", re.I)
 _NOT_ID = re.compile(r"\b(?:serial|part|model|catalog|po|job|application|licence c)\b\W{0,3}(?:no\.?)?\W{0,3}$", re.I)
 
@@ -355,6 +357,12 @@ def _ids(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
     for m in LONE_ID.finditer(text):
         near = text[max(0, m.start() - BEFORE) : m.start()]
         yield m.start(), m.end(), 0.3 + 0.3 * bool(_ID_WORDS.search(near)) - 0.5 * bool(_NOT_ID.search(near))
+    for m in CHECKED_ID.finditer(text):
+        near = text[max(0, m.start() - BEFORE) : m.start()]
+        if _ID_WORDS.search(near):
+            plain = re.sub(r"[ -]", "", m[0])
+            confirmed = luhn(plain) if plain.isdigit() else mod23(plain)
+            yield m.start(), m.end(), 0.4 + 0.2 * confirmed - 0.5 * bool(_NOT_ID.search(near))
 
 
 def find_personal(text: str | None) -> list[tuple[str, int, int]]:

@@ -37,6 +37,16 @@ def test_find(text, expected):
     assert [(kind, text[s:e]) for kind, s, e in find_personal(text)] == expected
 
 
+def test_a_checksum_decides_on_a_number_without_a_label():
+    def numbers(text):
+        return [text[s:e] for kind, s, e in find_personal(text) if kind == "id_number"]
+
+    assert luhn("046454286") and not luhn("046454287") and mod23("12345678Z")
+    assert numbers("Payroll lists 046 454 286 twice.") == ["046 454 286"] and numbers("Payroll lists 046 454 287 twice.") == []
+    assert numbers("Badge request 12345678-Z was sent.") == ["12345678-Z"] and numbers("Badge request 12345678-A was sent.") == []
+    assert numbers("Order 046 454 286 was sent, and 12345678-Z.") == numbers("Payroll for job no. 046454286.") == []
+
+
 def test_checksums():
     assert luhn("4539578763621486") and not luhn("4539578763621487")
     assert mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765433")
