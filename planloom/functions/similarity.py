@@ -2,10 +2,50 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def lcs_of(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        met = free & at.get(c, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(a) - free.bit_count()
+
+
+def lcs_similarity(a: Column, b: Column) -> Column:
+    """2 * LCS / (|a| + |b|), from 0 to 1, in Arrow batches; null if either is null, 1 for two empty strings. For pairs that cheaper bounds have left."""
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else 1.0 if p == q else 2.0 * lcs_of(p, q) / (len(p) + len(q)) for p, q in zip(x, y)], dtype="float64")
+
+    return similarity(a, b)
+
+
+def letter_mask(word: Column) -> Column:
+    """Bit mask of the letters a to z a word holds once and twice.
+
+    Two words of which one has ``n`` letters outside their longest common subsequence
+    and the other ``m`` differ in at most ``n + m`` bits, so ``differing_letters`` is a
+    lower bound of what the subsequence leaves out.
+    """
+    at = lambda c: F.ascii(c) - 97
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
+    letters = F.filter(F.split(word, ""), lambda c: c.rlike("^[a-z]$"))
+    return F.aggregate(letters, F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(F.when(m.bitwiseAND(bit(at(c))) == 0, bit(at(c))).otherwise(bit(at(c) + 26))))
+
+
+def differing_letters(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence; null if either is null. For short strings: the table is built row by row."""
     other = F.filter(F.split(b, ""), lambda c: c != "")

@@ -58,3 +58,16 @@ def test_token_set_ratio(spark):
         got = spark.createDataFrame([(a, b)], "a string, b string").select(sim.token_set_ratio(F.col("a"), F.col("b"))).first()[0]
         assert got == expected if expected is not None else got < 85
     assert SequenceMatcher
+
+
+def test_lcs_as_bits_and_the_letter_bound_against_brute_force(spark):
+    rng = random.Random(11)
+    pairs = [("".join(rng.choices("abcde1", k=rng.randrange(12))), "".join(rng.choices("abcde1", k=rng.randrange(12)))) for _ in range(300)] + [(None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sim.lcs_similarity(F.col("a"), F.col("b")).alias("s"), sim.differing_letters(sim.letter_mask(F.col("a")), sim.letter_mask(F.col("b"))).alias("d")).collect()
+    for r in got:
+        if r["a"] is None:
+            assert r["s"] is None
+            continue
+        n = lcs(r["a"], r["b"])
+        assert sim.lcs_of(r["a"], r["b"]) == n and r["d"] <= len(r["a"]) + len(r["b"]) - 2 * n
+        assert abs(r["s"] - (2 * n / (len(r["a"]) + len(r["b"])) if r["a"] or r["b"] else 1.0)) < 1e-12
