@@ -57,7 +57,7 @@ def _type_of(word: Column) -> Column:
 
 def address_parts(raw: Column) -> Column:
     """Struct of the parts of a typed address; a part not found is null. Suite and unit are dropped, the state is not used."""
-    t = F.lower(despaced(F.replace(raw, F.lit(" "), F.lit(" "))))
+    t = F.lower(despaced(F.replace(raw, F.lit("\u00a0"), F.lit(" "))))
     t = F.regexp_replace(t, r"^\W*(?:#|no\.?|nr\.?)\s*(?=[0-9]+\s+[0-9]?[a-z])|(?<=[\s,;])(?:#|no\.)\s*(?=[0-9]+\s+[0-9]?[a-z])", "")
     t = F.regexp_replace(t, r"(?:(?<=^|[\s,;\-])(?:suite|ste|unit|apartment|apt|room|rm|floor)\b\.?\s*#?\s*(?:[a-z]?-?[0-9]+[a-z]?|[a-z])\b|#\s*[a-z]?[0-9]+[a-z]?\b)\s*,?", " ")
     t = F.regexp_replace(t, rf"(?<=[\s,])(?:{'|'.join(STATE_NAMES)})\b\.?(?=\s*(?:$|[,;\n]|-\s|[0-9]{{5}}))", " ")

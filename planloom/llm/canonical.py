@@ -25,7 +25,7 @@ _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaacee
 
 def despaced(text: Column) -> Column:
     """Words set with a space between all letters, put together: ``A C E   B`` gives ``ACE B``."""
-    one = F.trim(F.replace(text, F.lit(" "), F.lit(" ")))
+    one = F.trim(F.replace(text, F.lit("\u00a0"), F.lit(" ")))
     joined = F.replace(F.replace(F.regexp_replace(one, r"\s{2,}", "\u0001"), F.lit(" "), F.lit("")), F.lit("\u0001"), F.lit(" "))
     return F.when(one.rlike(r"^(?:\S\s+){2,}\S$"), joined).otherwise(one)
 
@@ -75,7 +75,7 @@ def map_to_list(values: DataFrame, value: str, refs: DataFrame, code: str, name:
     without letters or digits are UNMATCHED; repeated rows are kept, as are all other
     columns under any name. An empty list leaves everything UNMATCHED.
     """
-    keyed = values.where(F.trim(F.replace(F.col(value), F.lit(" "), F.lit(" "))) != "").select(F.struct("*").alias("_row"), F.col(value).alias("_value"))
+    keyed = values.where(F.trim(F.replace(F.col(value), F.lit("\u00a0"), F.lit(" "))) != "").select(F.struct("*").alias("_row"), F.col(value).alias("_value"))
     counted = materialise(keyed.groupBy("_value").agg(F.count(F.lit(1)).alias("_n")), "typed-values")
     keys = counted.select("_value", F.explode(typed_keys(F.col("_value"))).alias("_k")).select("_value", "_k.*").where(F.col("key") != "")
     distinct = keys.select("order", F.col("key").alias("typed")).distinct()

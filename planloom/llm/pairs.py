@@ -17,7 +17,8 @@ def class_pairs(members: DataFrame, of: str) -> DataFrame:
     """
     sizes = members.groupBy(of).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     rows = members.join(sizes, of).withColumn("_slices", F.ceil(F.col("_n") / SLICE).cast("int")).withColumn("_slice", F.pmod(F.xxhash64("key"), F.col("_slices")).cast("int"))
-    left = rows.select(of, "key", "raw", F.col("_slice").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_j"))
-    right = rows.select(of, F.col("key").alias("key_b"), F.col("raw").alias("raw_b"), F.col("_slice").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_i"))
-    pairs = left.join(right, [of, "_i", "_j"]).where((F.col("key") < F.col("key_b")) & (F.col("raw") != F.col("raw_b")))
-    return pairs.select(F.col("key").alias("rec_a"), F.col("key_b").alias("rec_b"))
+    # Each two slices meet once: the row of the lower slice goes to all from its own on, that of the higher to all up to its own.
+    left = rows.select(of, "key", "raw", F.col("_slice").alias("_i"), F.explode(F.sequence(F.col("_slice"), F.col("_slices") - 1)).alias("_j"))
+    right = rows.select(of, F.col("key").alias("key_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("_slice"))).alias("_i"), F.col("_slice").alias("_j"))
+    pairs = left.join(right, [of, "_i", "_j"]).where((F.col("raw") != F.col("raw_b")) & ((F.col("_i") < F.col("_j")) | (F.col("key") < F.col("key_b"))))
+    return pairs.select(F.least("key", "key_b").alias("rec_a"), F.greatest("key", "key_b").alias("rec_b"))

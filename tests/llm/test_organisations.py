@@ -1,6 +1,10 @@
 import itertools
+import random
+
+from pyspark.sql import functions as F
 
 import planloom.llm.organisations as organisations
+from planloom.functions.similarity import lcs_of
 from planloom.llm.forest import roots_of
 from planloom.llm.organisations import organisation_of
 from planloom.llm.pairs import SLICE, class_pairs
@@ -69,15 +73,69 @@ def test_a_large_class_is_sliced(spark, monkeypatch):
 
 
 def test_common_blocks_in_slices_of_one_against_whole_blocks(spark, monkeypatch):
-    monkeypatch.setattr(organisations, "COMMON", 0)
-    rest = ["".join(p) for p in itertools.product(("bom", "kel"), ("lus", "fen"), ("ka", "dim"))] + ["bomlusk", "bomusk", "bolmusk", "klefenka"]
-    cores = [(f"|{x} wauststalen", 1 + i % 3, "", [x, "wauststalen"], f"wauststalen{x}") for i, x in enumerate(rest)]
-    df = spark.createDataFrame(cores, "id string, n long, direction string, names array<string>, whole string")
-    blocks = organisations.suffix_blocks(df).where("key = '|ststalen'").collect()
-    assert sorted(r["id"] for r in blocks) == sorted(c[0] for c in cores) and all(0 <= r["slice"] < r["slices"] for r in blocks)
-    got = {r["id"]: r["parent"] for r in organisations.best_parents(df).collect()}
-    monkeypatch.setattr(organisations, "COMMON", 1_000_000)
-    assert got and got == {r["id"]: r["parent"] for r in organisations.best_parents(df).collect()}
+    rest = ["".join(p) for p in itertools.product(("bom", "kel"), ("lus", "fen"), ("ka", "dim"))] + ["bomluska", "bomusdim", "bolmuska", "klefenka", "kelfnka"]
+    words = spark.createDataFrame([(w, 60 if len(w) == 8 and w.startswith(("bom", "kel")) else 1) for w in rest], "word string, f long")
+    monkeypatch.setattr(organisations, "SLICE", 1)
+    got = {tuple(r) for r in organisations.word_spellings(words).collect()}
+    monkeypatch.setattr(organisations, "SLICE", 1_000_000)
+    assert got and got == {tuple(r) for r in organisations.word_spellings(words).collect()}
+
+
+def test_a_word_with_one_error_shares_a_key_wherever_it_is(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvwz", k=n)) for n in (6, 7, 8, 9, 11, 13) for _ in range(6)]
+    pairs = []
+    for w in words:
+        for i in range(len(w)):
+            pairs += [(w, w[:i] + "q" + w[i + 1 :]), (w, w[:i] + w[i + 1 :]), (w, w[:i] + "q" + w[i:])]
+            if i + 1 < len(w):
+                pairs.append((w, w[:i] + w[i + 1] + w[i] + w[i + 2 :]))
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("met", F.arrays_overlap(organisations.suffix_keys(F.col("a")), organisations.suffix_keys(F.col("b"))))
+    missed = [r for r in df.where("not met").collect()]
+    assert all(len(r["a"]) <= 7 for r in missed) and len(missed) < 0.03 * len(pairs)
+
+
+def test_spellings_against_brute_force(spark):
+    rng = random.Random(5)
+    right = ["".join(rng.choice(x) for x in (("bro", "sta", "kel"), ("ax", "um", "int"), ("kat", "vit", "ros"), ("er", "all", "ick"))) for _ in range(40)]
+    words = {w: 80 for w in right}
+    for w in list(words):
+        i = rng.randrange(len(w) - 1)
+        for x in (w[:i] + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]):
+            words.setdefault(x, 1)
+    got = {(r["word"], r["spelling"]) for r in organisations.word_spellings(spark.createDataFrame(list(words.items()), "word string, f long")).collect()}
+    expected = set()
+    for w, f in words.items():
+        alike = {v: 2 * lcs_of(w, v) / (len(w) + len(v)) for v, g in words.items() if v != w and f <= max(organisations.RARE_COUNT, organisations.RARE_SHARE * g) and (g, v) > (f, w)}
+        alike = {v: r for v, r in alike.items() if r >= organisations.CANDIDATE}
+        expected |= {(w, v) for v, r in alike.items() if r >= max(alike.values()) - organisations.ABOUT}
+    assert len(got & expected) >= 0.98 * len(expected) and len(got - expected) <= 0.02 * len(got)
+
+
+PEOPLE = ["John Miller Architects", "Jack Miller Architects Inc.", "J. Miller Architects", "Mary Miller Architects", "M. Miller, Architect"]
+
+
+def test_given_names_tell_like_named_firms_apart(spark):
+    got = {r["raw"]: r["organisation"] for r in organisation_of(spark.createDataFrame([(str(i), n) for i, n in enumerate(PEOPLE)], "k string, v string"), "k", "v").collect()}
+    assert got[PEOPLE[0]] == got[PEOPLE[1]] == got[PEOPLE[2]] != got[PEOPLE[3]] == got[PEOPLE[4]]
+
+
+def test_given_names_that_name_a_place_or_are_all_there_is(spark):
+    names = ["San Jose Unified School District", "San Unified School District", "Charles & Thomas Architects", "Ben Jose Studio", "Richard Carlos Design", "Carlos, Richard Design Inc."]
+    got = {r["raw"]: r["organisation"] for r in organisation_of(spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "k string, v string"), "k", "v").collect()}
+    assert set(got) == set(names) and len(set(got.values())) == 5 and got[names[4]] == got[names[5]]
+
+
+def test_errors_in_every_word_and_words_run_together(spark):
+    data = [(f"a{i}", "Wondshyden & Jondshond Engineers") for i in range(3)] + [("b", "Wondshdyen-Jondshonnd Engineers"), ("c", "WondshydenJondshnd Engrs"), ("d", "WONDSHYDENJONDSHOND")]
+    got = {r["key"]: r["organisation"] for r in organisation_of(spark.createDataFrame(data, "k string, v string"), "k", "v").collect()}
+    assert len(set(got.values())) == 1 and len(got) == 6
+
+
+def test_a_rare_word_is_a_spelling_of_the_nearest_word_not_of_the_nearest_name(spark):
+    data = [(f"a{i}", "Dinduter & Thustbirick") for i in range(10)] + [(f"b{i}", f"Thustfarick & {x}") for i, x in enumerate(["Kaundriston"] * 60)] + [("c", "Dinduter Thusstfarick"), ("d", "Dinduter Thustfarick")]
+    got = {r["key"]: r["organisation"] for r in organisation_of(spark.createDataFrame(data, "k string, v string"), "k", "v").collect()}
+    assert got["c"] == got["d"] != got["a0"]
 
 
 def test_an_edit_in_the_middle_of_the_rest_is_met_in_a_common_block(spark):
