@@ -2,7 +2,9 @@
 
 Regular expressions propose spans with a first score; checksum validators confirm or
 doubt identity numbers; words near a span raise or lower its score. Spans that reach
-the threshold stay, the stronger of two that overlap.
+the threshold stay; of two that overlap the one of the surer type (an email before a
+number, a number before an address, an address before a phone, a phone before a name),
+within a type the stronger.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 #: Characters before and after a number whose words count as its context.
 BEFORE, AFTER = 40, 24
+#: Characters before a verb within which a name's words are looked for.
+LONGEST_NAME = 120
 
 SPAN = "pii_type string, start_pos int, end_pos int"
 
@@ -61,9 +65,26 @@ def _emails(text: str) -> Iterator[tuple[int, int, float]]:
                 yield local.start(), domain.end(), 1.0
 
 
+# ---- numbers
+
+#: Runs in which a phone, identity or card number lies; the patterns of these are tried there only.
+RUN = re.compile(r"\d[\d ()./-]{7,}[\dA-Za-z]")
+
+
+def _in_runs(pattern: re.Pattern, text: str, runs: list[tuple[int, int]], before: int = 6, after: int = 4) -> Iterator[re.Match]:
+    """Matches of a pattern around the runs; it may begin ``before`` a run, and sees what follows it."""
+    done = 0
+    for start, end in runs:
+        for m in pattern.finditer(text, max(done, start - before), min(len(text), end + after)):
+            yield m
+            done = m.end()
+
+
 # ---- phone
 
 PHONE = re.compile(r"(?<![\w.+/#-])(?<!\d )(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ ./-]?)\d{3}[ .-]?\d{4}(?![\w-]|[.]\d)")
+#: A plus sign and a country code other than 1, then groups; 8 to 15 digits in all.
+ABROAD = re.compile(r"(?<![\w+])\+(?!1[ .(-]?\d{3})[1-9]\d{0,2}(?:[ .-]?\(0?\d{0,4}\)|[ .-]?\d{1,4}){2,7}(?![\w-]|[.]\d)")
 _PHONE_WORDS = re.compile(r"\b(?:call(?:ed)?|phone|tel|tél|teléfono|telefono|téléphone|mobile|móvil|cell|fax|reach|hours|contact|contacto|joindre|questions?|watch|dial|voice|ring|per call with|sign-in)\b|[|/]\s*$", re.I)
 _NOT_PHONE = re.compile(r"\b(?:part|serial|catalog|model|sheet|po|job|item|sku|section|invoice|account|license|licence|ssn|sin|drawing|replaces|application|submittal|project|no)\b\.?[^.\n]{0,8}$", re.I)
 _NOT_PHONE_AFTER = re.compile(r"^\s*(?:fits|replaces|does not|psi|mm|feet|linear)\b", re.I)
@@ -82,7 +103,12 @@ LABELLED_ID = re.compile(rf"{ID_LABEL}\s*[:#]?\s*(?P<value>{_ID_VALUE})(?![\w-])
 LONE_ID = re.compile(r"(?<![\w./-])(?P<value>\d{3}-\d{2}-\d{4})(?![\w-])")
 # Numbers in a form that a checksum can confirm; the words near them alone don't make them a person's.
 CHECKED_ID = re.compile(r"\d(?<![\w./-]\d)(?<!\d \d)(?:\d\d([ -]?)\d{3}\1\d{3}|\d{7}-?[A-Za-z])(?![\w-]| ?\d|\.\d)")
-_ID_WORDS = re.compile(r"\b(?:ssn|social|security|tax id|wage form|payroll|badge request|fingerprint)\b", re.I)
+#: Bank accounts, and payment cards in groups of four or unbroken.
+ACCOUNT = re.compile(r"(?<![\w/-])(?P<value>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])")
+CARD = re.compile(r"(?<![\w./+-])(?<!\d )(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w-]| \d|\.\d)")
+_CARD_WORDS = re.compile(r"\b(?:card|visa|mastercard|amex|american express|credit|debit|tarjeta|carte)\b", re.I)
+_ID_WORDS_PLAIN = ("ssn", "social", "security", "tax id", "wage form", "payroll", "badge request", "fingerprint")
+_ID_WORDS = re.compile(rf"\b(?:{'|'.join(_ID_WORDS_PLAIN)})\b", re.I)
 _NOT_ID = re.compile(r"\b(?:serial|part|model|catalog|po|job|application|licence c)\b\W{0,3}(?:no\.?)?\W{0,3}$", re.I)
 
 # ---- address
@@ -148,17 +174,27 @@ _LINE_START_ONLY = {"name", "name:", "as", "dear", "hi", "hello"}
 _STARTS = re.compile(r"(?:^|[\n.!?:;])\s*(?:\d{1,3}\.\s+)?$")
 _WEAK_BEFORE = re.compile(r"(?i:par|por|as|hi|inspector|foreman)\s+$")
 _SECOND = re.compile(r"(?:\s*,\s*|\s+(?i:and|y|et|or)\s+)" + _FIRST)
-AFTER_NAME = re.compile(r"(?:(?<=\s)(?:will hold the|wrote on|asked for|reported the|confirmed by|a signé)|['’]s crew)")
+_AFTER_NAME_PLAIN = ("will hold the", "wrote on", "asked for", "reported the", "confirmed by", "a signé", "s crew")
+AFTER_NAME = re.compile(rf"(?:(?<=\s)(?:{'|'.join(_AFTER_NAME_PLAIN[:-1])})|['’]s crew)")
 _CAPITALISED = re.compile(r"(?<![\w'’.-])[A-ZÀ-ÖØ-Þ][^\W\d_]{1,}(?![\w'’-])")
 
 
-_NAME_BEFORE = re.compile(r"(?<![\w'’.-])((?:[A-ZÀ-Þ][\w'’-]+ )?(?:[A-ZÀ-Þ]\. )*[A-ZÀ-Þ][\w'’-]+)$")
+#: Capitalised words that begin a clause after a name, by their endings and as short words.
+_SENTENCE_WORD = re.compile(r"(?:\w+(?:ing|ly|ment|tion|ción)|\w{1,3}|please|after|before|during|since|until|when|what|while|there|here|they|then|our|your|his|her|its|their|only|also|new|two|three|four|five|phase|level|floor|unit|area|hvac|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|september|october|november|december)$", re.I)
+_NAME_BEFORE = re.compile(r"(?<![\w'’.-])((?:(?:[A-ZÀ-Þ][\w'’-]+|[A-ZÀ-Þ]\.|van|von|de|del|della|da|di|du|la|le|der|den|ter|bin|al|el) )*[A-ZÀ-Þ][\w'’-]+)$")
+
+
+#: Words within a surname, in any case; each counts only where a capitalised word follows.
+_PARTICLE = re.compile(r"(?:(?:van|von|vom|zu|de|del|della|da|di|do|dos|das|du|la|las|los|le|der|den|ter|ten|bin|ibn|ben|al|el|st\.|san|santa) |d['’])+(?=[A-ZÀ-ÖØ-Þ][\w'’-]*[a-zß-ÿ])", re.I)
 
 
 def read_name(text: str, at: int) -> tuple[int, int] | None:
-    """(end, words) of a name that starts at ``at``: up to four words and initials, without possessive; None if none."""
+    """(end, words) of a name that starts at ``at``: all its words, particles and initials to the end of the run, without possessive; None if none."""
     end, words, pos = -1, 0, at
-    for _ in range(4):
+    shout = False
+    while True:
+        if words and (p := _PARTICLE.match(text, pos)):
+            pos = p.end()
         m = _TOKEN.match(text, pos)
         if not m:
             break
@@ -168,11 +204,16 @@ def read_name(text: str, at: int) -> tuple[int, int] | None:
             break
         initial = word.endswith(".")
         if not initial:
+            # In running capitals, and after a word in another case, a third word may belong to what follows.
+            if words == 1:
+                shout = len(stem) > 1 and stem.isupper()
+            if words >= 2 and (shout or stem.isupper() or not _goes_on(text, pos, stem)):
+                break
             end, words = pos + len(stem), words + 1
         elif words > 2:
             break
         pos = m.end()
-        if stem != word or words >= 2 and not initial:
+        if stem != word:
             break
         if text[pos : pos + 1] != " ":
             break
@@ -180,6 +221,11 @@ def read_name(text: str, at: int) -> tuple[int, int] | None:
     return (end, words) if end > 0 else None
 
 
+def _goes_on(text: str, at: int, stem: str) -> bool:
+    """Whether a third or later capitalised word is still the name: it isn't one that begins a sentence or names a firm or place."""
+    return not _PLACE_AFTER.match(text, at - 1) and not _SENTENCE_WORD.match(stem)
+
+
 def read_turned_name(text: str, at: int) -> int | None:
     """End of ``Surname, Given`` at ``at``."""
     m = re.compile(r"([A-ZÀ-Þ][\w'’-]+), ([A-ZÀ-Þ][\w'’-]+)((?: [A-Z]\.)?)(?!\w)").match(text, at)
@@ -206,8 +252,8 @@ def _names(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
             if not re.search(r"spoke|attendees", lead) or not (n := _SECOND.match(text, end)):
                 break
             at = n.end()
-    for m in AFTER_NAME.finditer(lower):
-        start, stop = max(0, m.start() - 48), m.start()
+    for m in AFTER_NAME.finditer(lower) if any(w in lower for w in _AFTER_NAME_PLAIN) else ():
+        start, stop = max(0, m.start() - LONGEST_NAME), m.start()
         while stop > start and text[stop - 1].isspace():
             stop -= 1
         head = _NAME_BEFORE.search(text[start:stop])
@@ -321,8 +367,8 @@ def _place_before(text: str, start: int) -> int | None:
     return from_ + at
 
 
-def _phones(text: str) -> Iterator[tuple[int, int, float]]:
-    for m in PHONE.finditer(text):
+def _phones(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
+    for m in _in_runs(PHONE, text, runs):
         near, after = text[max(0, m.start() - BEFORE) : m.start()], text[m.end() : m.end() + AFTER]
         score = 0.55 if re.search(r"[().\-/ +]", m[0]) else 0.35
         if _PHONE_WORDS.search(near):
@@ -336,7 +382,14 @@ def _phones(text: str) -> Iterator[tuple[int, int, float]]:
         yield m.start(), m.end(), score
 
 
-def _ids(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
+    if "+" in text:
+        for m in ABROAD.finditer(text):
+            if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+                near = text[max(0, m.start() - BEFORE) : m.start()]
+                yield m.start(), m.end(), 0.6 + 0.3 * bool(_PHONE_WORDS.search(near)) - 0.3 * bool(_NOT_PHONE.search(near))
+
+
+def _ids(text: str, lower: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, float]]:
     for at in _LABEL_START.finditer(lower):
         m = LABELLED_ID.match(text, at.start())
         if not m:
@@ -344,25 +397,37 @@ def _ids(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
         near = text[max(0, m.start() - BEFORE) : m.start()]
         value = m["value"]
         plain = re.sub(r"[ -]", "", value)
-        score = 0.7
-        if re.fullmatch(r"\d{8}[A-Za-z]", plain) and mod23(plain):
-            score += 0.2
+        # A label makes a number a person's by itself; its checksum decides where a word before the label says otherwise.
+        score = 0.6
+        if re.fullmatch(r"\d{8}[A-Za-z]", plain):
+            score += 0.3 if mod23(plain) else 0.0
         elif re.fullmatch(r"[A-Za-z]{2}\d{2}[A-Za-z0-9]{10,}", plain):
-            score += 0.2 if mod97(plain) else -0.3
-        elif re.fullmatch(r"\d{9}", plain) and luhn(plain):
-            score += 0.2
+            score += 0.3 if mod97(plain) else -0.3
+        elif re.fullmatch(r"\d{9}", plain):
+            score += 0.3 if luhn(plain) else 0.0
         if _NOT_ID.search(near):
-            score -= 0.5
+            score -= 0.35
         yield m.start("value"), m.end("value"), score
-    for m in LONE_ID.finditer(text):
+    for m in _in_runs(LONE_ID, text, runs):
         near = text[max(0, m.start() - BEFORE) : m.start()]
         yield m.start(), m.end(), 0.3 + 0.3 * bool(_ID_WORDS.search(near)) - 0.5 * bool(_NOT_ID.search(near))
-    for m in CHECKED_ID.finditer(text):
+    for m in _in_runs(CHECKED_ID, text, runs) if any(w in lower for w in _ID_WORDS_PLAIN) else ():
         near = text[max(0, m.start() - BEFORE) : m.start()]
         if _ID_WORDS.search(near):
             plain = re.sub(r"[ -]", "", m[0])
             confirmed = luhn(plain) if plain.isdigit() else mod23(plain)
             yield m.start(), m.end(), 0.4 + 0.2 * confirmed - 0.5 * bool(_NOT_ID.search(near))
+    # Accounts and cards are long enough for their checksum to make them one without a label; a label alone doesn't.
+    for m in _in_runs(ACCOUNT, text, runs, 12, 24):
+        plain = m["value"].replace(" ", "")
+        near = text[max(0, m.start() - BEFORE) : m.start()]
+        if 15 <= len(plain) <= 34:
+            yield m.start("value"), m.end("value"), 0.3 + 0.4 * mod97(plain) - 0.35 * bool(_NOT_ID.search(near))
+    for m in _in_runs(CARD, text, runs):
+        plain = re.sub(r"[ -]", "", m[0])
+        near = text[max(0, m.start() - BEFORE) : m.start()]
+        if 13 <= len(plain) <= 19 and len(set(plain)) > 1:
+            yield m.start(), m.end(), 0.2 + 0.3 * bool(_CARD_WORDS.search(near)) + 0.3 * (plain[0] in "23456") + (0.2 if luhn(plain) else -0.4) - 0.4 * bool(_NOT_ID.search(near) or _NOT_PHONE.search(near))
 
 
 def find_personal(text: str | None) -> list[tuple[str, int, int]]:
@@ -372,7 +437,8 @@ def find_personal(text: str | None) -> list[tuple[str, int, int]]:
     lower = text.lower()
     if len(lower) != len(text):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    proposed = (("email", _emails(text)), ("id_number", _ids(text, lower)), ("phone", _phones(text)), ("address", _addresses(text)), ("name", _names(text, lower)))
+    runs = [m.span() for m in RUN.finditer(text)]
+    proposed = (("email", _emails(text)), ("id_number", _ids(text, lower, runs)), ("phone", _phones(text, runs)), ("address", _addresses(text)), ("name", _names(text, lower)))
     spans = [(kind, s, e, w) for kind, found in proposed for s, e, w in found if w >= THRESHOLD]
     rank = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "name": 4}
     spans.sort(key=lambda x: (rank[x[0]], -x[3], x[1] - x[2], x[1]))

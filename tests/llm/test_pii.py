@@ -66,3 +66,33 @@ def test_spans_in_code_points_repeats_and_long(spark):
     got = sorted(tuple(r) for r in personal_spans(df, "doc_id", "text").collect())
     assert got == [(1, "email", 3, 13), (1, "email", 3, 13), (4, "email", len(far) - 10, len(far))]
     assert personal_spans(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_names_are_read_to_their_end():
+    for text, expected in {
+        "Please contact Juan Carlos Garcia Lopez at noon.": "Please contact [NAME] at noon.",
+        "attention Mary Ann Van Der Berg.": "attention [NAME].",
+        "Ask for Ana Maria Torres please": "Ask for [NAME] please",
+        "Spoke to Ludwig van der Rohe and Eva de la Cruz about it": "Spoke to [NAME] and [NAME] about it",
+        "Juan Carlos Garcia Lopez wrote on Monday": "[NAME] wrote on Monday",
+        "Dr. Priya Raman Iyer's crew": "Dr. [NAME]'s crew",
+    }.items():
+        assert redact(text) == expected
+
+
+def test_checksums_decide_on_cards_accounts_and_contradicted_numbers():
+    for text, expected in {
+        "card 4111 1111 1111 1111 exp": "card [ID_NUMBER] exp",
+        "visa 4111 1111 1111 1112": "visa 4111 1111 1111 1112",
+        "pay GB82WEST12345698765432 now": "pay [ID_NUMBER] now",
+        "pay GB83WEST12345698765432 now": "pay GB83WEST12345698765432 now",
+        "serial no. DNI 12345678Z": "serial no. DNI [ID_NUMBER]",
+        "serial no. DNI 12345678A": "serial no. DNI 12345678A",
+        "invoice 4111111111111112": "invoice 4111111111111112",
+    }.items():
+        assert redact(text) == expected
+
+
+def test_phones_of_other_countries():
+    assert redact("call +33 1 42 68 53 00 or +34 612 345 678") == "call [PHONE] or [PHONE]"
+    assert redact("tel +44 (0)20 7946 0958, model +12 345 part") == "tel [PHONE], model +12 345 part"
