@@ -4,7 +4,8 @@ An address is taken apart into number, direction, street, type, town and postcod
 Candidates share the number and the postcode, the street's sound or the town.
 Agreement levels, with a level of their own for a part one side leaves out, are
 counted over all candidate pairs; expectation-maximisation turns the counts into
-weights. Each form of an address is attached to its best more complete form.
+weights. Each form of an address is attached to its best more complete form among
+those whose weight reaches the threshold and that contradict none of its parts.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.similarity import edits_within, lcs_ratio
+from planloom.functions.similarity import lcs_similarity
 from planloom.llm.canonical import despaced
 from planloom.llm.forest import roots_of
 from planloom.llm.organisations import smooth
+from planloom.llm.pairs import block_pairs, in_slices
 from planloom.operators.skew import heavy_key_join
 from planloom.session import materialise, spread
 
@@ -33,11 +35,12 @@ STATE_NAMES = (
 # The codes of Connecticut and Wyoming are left out: they are short forms of Court and Way too.
 STATE_CODES = "al ak az ar ca co de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi".split()
 
-#: Least ratio at which two different street or town words are alike.
-ALIKE = 0.8
-#: Levels of agreement of each compared part.
-LEVELS = {"street": ("equal", "alike", "other"), "direction": ("equal", "left out", "other"), "type": ("equal", "left out", "other"), "place": ("equal", "alike", "left out", "other")}
-EM_ROUNDS, PROBABILITY = 40, 0.5
+#: Least ratio at which two different street or town words are alike, and at which two streets are near: so garbled that the other parts must speak for them.
+ALIKE, NEAR = 0.8, 0.65
+#: Levels of agreement of each compared part; "both" and "one" say which side leaves it out.
+LEVELS = {"street": ("equal", "alike", "near", "other"), "direction": ("equal", "both", "one", "other"), "type": ("equal", "both", "one", "other"), "place": ("equal", "alike", "both", "one", "other")}
+#: Least probability of a match by the weights.
+EM_ROUNDS, PROBABILITY = 40, 0.999
 PARTS = ["number", "direction", "street", "type", "town", "postcode"]
 
 
@@ -103,22 +106,21 @@ def with_known_places(forms: DataFrame) -> DataFrame:
 
 def agreement(a, b) -> dict[str, Column]:
     """Level (index into LEVELS) of each compared part; ``a`` and ``b`` give a part's column by name."""
+    no = lambda x: F.coalesce(x, F.lit(False))
 
     def simple(part: str) -> Column:
-        return F.when(a(part).isNull() | b(part).isNull(), F.when(a(part).isNull() & b(part).isNull(), 0).otherwise(1)).when(a(part) == b(part), 0).otherwise(2)
+        return F.when(a(part).isNull() & b(part).isNull(), 1).when(a(part).isNull() | b(part).isNull(), 2).when(a(part) == b(part), 0).otherwise(3)
 
-    def near(x: Column, y: Column) -> Column:
-        close = F.levenshtein(x, y) <= edits_within(ALIKE, F.length(x) + F.length(y))
-        return F.when(close, lcs_ratio(x, y) >= ALIKE).otherwise(F.lit(False))
-
-    street = F.when(a("street") == b("street"), 0).when(near(a("street"), b("street")), 1).otherwise(2)
+    streets, towns = lcs_similarity(a("street"), b("street")), lcs_similarity(a("town"), b("town"))
+    street = F.when(a("street") == b("street"), 0).when(streets >= ALIKE, 1).when(streets >= NEAR, 2).otherwise(3)
     town_out, code_out = a("town").isNull() | b("town").isNull(), a("postcode").isNull() | b("postcode").isNull()
+    codes = a("postcode") == b("postcode")
     place = (
-        F.when(F.coalesce(a("town") == b("town"), F.lit(False)), 0)
-        .when(~town_out & near(a("town"), b("town")) & (code_out | F.coalesce(a("postcode") == b("postcode"), F.lit(True))), 1)
-        .when(town_out & F.coalesce(a("postcode") == b("postcode"), F.lit(False)), 0)
-        .when(town_out & code_out, 2)
-        .otherwise(3)
+        F.when(no(a("town") == b("town")), 0)
+        .when(~town_out & no(towns >= ALIKE) & (code_out | no(codes)), 1)
+        .when(town_out & no(codes), 0)
+        .when(town_out & code_out, F.when(F.coalesce(a("town"), a("postcode"), b("town"), b("postcode")).isNull(), 2).otherwise(3))
+        .otherwise(4)
     )
     return {"street": street, "direction": simple("direction"), "type": simple("type"), "place": place}
 
@@ -152,9 +154,28 @@ def estimate_weights(patterns: list[tuple[tuple[int, ...], int]], chance: list[t
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """Pairs of structs ``a`` and ``b`` with their agreement levels."""
-    flat = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.rank").alias("ra"), F.col("b.rank").alias("rb"), *[F.col(f"{side}.{p}").alias(f"{side}_{p}") for side in "ab" for p in PARTS])
-    return flat.select("id", "other", "ra", "rb", *[level.alias(part) for part, level in agreement(lambda p: F.col(f"a_{p}"), lambda p: F.col(f"b_{p}")).items()])
+    """Pairs with columns ``a_`` and ``b_`` (id, n, full, PARTS) as (id, other, ra, rb) with their agreement levels; ra and rb rank the sides by completeness."""
+    rank = lambda s: F.struct(F.col(f"{s}_full").alias("full"), F.col(f"{s}_n").alias("n"), F.col(f"{s}_id").alias("id"))
+    return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), rank("a").alias("ra"), rank("b").alias("rb"), *[level.alias(part) for part, level in agreement(lambda p: F.col(f"a_{p}"), lambda p: F.col(f"b_{p}")).items()])
+
+
+#: Columns a candidate carries through its blocks.
+CARRIED = ["id", "n", "full", *PARTS]
+
+
+def candidates(forms: DataFrame) -> DataFrame:
+    """Pairs of forms that share the number and the postcode, the street's sound or the town, each pair once.
+
+    A pair that shares several keys is met in the first of them only, so nothing has to
+    be made distinct; common blocks are cut into slices.
+    """
+    keys = [F.concat_ws("|", F.lit("p"), "postcode", "number"), F.concat_ws("|", F.lit("s"), F.soundex("street"), "number"), F.concat_ws("|", F.lit("t"), "town", "number")]
+    held = F.filter(F.array(F.when(F.col("postcode").isNotNull(), keys[0]), F.when(F.col("street").isNotNull(), keys[1]), F.when(F.col("town").isNotNull(), keys[2])), lambda k: k.isNotNull())
+    blocks = in_slices(forms.withColumn("key", F.explode(held)).withColumn("kind", F.left("key", F.lit(1))), "key", "id")
+    pairs = block_pairs(blocks, "key", [*CARRIED, "kind"])
+    post = F.coalesce(F.col("a_postcode") == F.col("b_postcode"), F.lit(False))
+    sound = F.coalesce(F.soundex("a_street") == F.soundex("b_street"), F.lit(False))
+    return pairs.where(F.when(F.col("a_kind") == "s", ~post).when(F.col("a_kind") == "t", ~post & ~sound).otherwise(F.lit(True)))
 
 
 def _counts(pairs: DataFrame) -> list[tuple[tuple[int, ...], int]]:
@@ -173,25 +194,26 @@ def building_of(records: DataFrame, key: str, address: str) -> DataFrame:
     rows = records.where(F.col(address).rlike("[0-9]")).select(F.col(key).alias("key"), F.col(address).alias("raw"))
     counted = spread(rows.groupBy("raw").agg(F.count(F.lit(1)).alias("n")), "raw")
     typed = materialise(with_known_places(materialise(taken_apart(counted), "address-parts")).withColumn("id", F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in PARTS])), "address-forms")
-    forms = materialise(typed.groupBy("id").agg(F.sum("n").alias("n"), *[F.first(p).alias(p) for p in PARTS]), "address-form-ids")
-    keys = [F.concat_ws("|", F.lit("p"), "postcode", "number"), F.concat_ws("|", F.lit("s"), F.soundex("street"), "number"), F.concat_ws("|", F.lit("t"), "town", "number")]
-    keyed = forms.withColumn("key", F.explode(F.array_distinct(F.array(F.when(F.col("postcode").isNotNull(), keys[0]), keys[1], F.when(F.col("town").isNotNull(), keys[2]))))).where(F.col("key").isNotNull())
-    full = F.size(F.filter(F.array(*PARTS), lambda p: p.isNotNull()))
-    keyed = keyed.withColumn("rank", F.struct(full.alias("full"), "n", "id"))
-    a, b = (spread(keyed.select("key", F.struct("id", "n", "rank", *PARTS).alias(side)), "key") for side in "ab")
-    pairs = a.join(b, "key").where(F.col("a.id") < F.col("b.id")).drop("key").dropDuplicates(["a", "b"])
-    pairs = materialise(compared(spread(pairs)), "address-pairs")
+    forms = typed.groupBy("id").agg(F.sum("n").alias("n"), *[F.first(p).alias(p) for p in PARTS])
+    forms = materialise(forms.withColumn("full", F.size(F.filter(F.array(*PARTS), lambda p: p.isNotNull()))), "address-form-ids")
+    pairs = materialise(compared(candidates(forms)), "address-pairs")
     # Pairs at random: each form with the one its hash points to, about one a form.
     count = max(forms.count(), 1)
-    spot = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count))
-    one, other = (keyed.dropDuplicates(["id"]).select(spot(seed).alias("spot"), F.struct("id", "n", "rank", *PARTS).alias(side)) for side, seed in (("a", 1), ("b", 2)))
-    chance = compared(one.join(other, "spot").where(F.col("a.id") != F.col("b.id")))
+    spot = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).alias("spot")
+    one, other = (forms.select(spot(seed), *[F.col(c).alias(f"{side}_{c}") for c in CARRIED]) for side, seed in (("a", 1), ("b", 2)))
+    chance = compared(one.join(other, "spot").where(F.col("a_id") != F.col("b_id")))
     posterior, _tables = estimate_weights(_counts(pairs), _counts(chance))
-    weights = spark.createDataFrame([(*p, float(w)) for p, w in posterior.items()], ", ".join(f"{p} int" for p in LEVELS) + ", weight double") if posterior else spark.createDataFrame([], ", ".join(f"{p} int" for p in LEVELS) + ", weight double")
+    # One row for each pattern of levels, of which there are 320.
+    weights = spark.createDataFrame([(*p, float(w)) for p, w in posterior.items()], ", ".join(f"{p} int" for p in LEVELS) + ", weight double")
     # The exact check after the weights: parts that both sides write must not contradict each other.
-    agreed = pairs.join(weights, list(LEVELS)).where((F.col("street") < 2) & (F.col("direction") < 2) & (F.col("type") < 2) & (F.col("place") < 3) & (F.col("weight") >= PROBABILITY))
+    last = {part: len(levels) - 1 for part, levels in LEVELS.items()}
+    agreed = pairs.join(F.broadcast(weights), list(LEVELS)).where(F.col("weight") >= PROBABILITY)
+    for part, other_level in last.items():
+        agreed = agreed.where(F.col(part) < other_level)
     up = F.col("rb") > F.col("ra")
-    links = agreed.select(F.when(up, F.col("id")).otherwise(F.col("other")).alias("id"), F.when(up, F.col("other")).otherwise(F.col("id")).alias("parent"), (-(F.col("street") + F.col("place"))).alias("close"), (-(F.col("direction") + F.col("type"))).alias("said"), "weight", F.greatest("ra", "rb").alias("rank"))
+    out = lambda part: F.when(F.col(part) == LEVELS[part].index("one"), 1).otherwise(0)
+    close, said = -(F.col("street") + F.least(F.col("place"), F.lit(LEVELS["place"].index("both")))), -(out("direction") + out("type"))
+    links = agreed.select(F.when(up, F.col("id")).otherwise(F.col("other")).alias("id"), F.when(up, F.col("other")).otherwise(F.col("id")).alias("parent"), close.alias("close"), said.alias("said"), "weight", F.greatest("ra", "rb").alias("rank"))
     parents = materialise(links.groupBy("id").agg(F.max(F.struct("close", "said", "weight", F.col("rank.n").alias("n"), "parent"))["parent"].alias("parent")), "address-parents")
     building = roots_of(forms.select("id"), parents)
     entries = typed.select("raw", "id", "n").join(building, "id").select("raw", F.col("root").alias("building"), "n")

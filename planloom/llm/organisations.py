@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from planloom.functions.similarity import differing_letters, lcs_similarity, letter_mask
 from planloom.llm.canonical import despaced
 from planloom.llm.forest import roots_of
+from planloom.llm.pairs import block_pairs, in_slices
 from planloom.llm.pigeonhole import pigeonhole_candidates
 from planloom.operators.skew import heavy_key_join
 from planloom.session import materialise, spread
 
 #: Shortest suffix that is indexed by itself; shorter ones are refined by the word's first letters.
 SUFFIX = 5
-#: Words of a block that one task compares with as many; a larger block is cut into slices, and every slice is paired with every other.
-SLICE = 500
 #: Least ratio of two spellings of a word; of one that isn't clear by frequency; of a name as a whole; of two names one of which is run together or one word.
 CANDIDATE, WORD_RATIO, NAME_RATIO, WHOLE_RATIO = 0.75, 0.8, 0.87, 0.9
 #: Spellings that are less alike than the best by no more than this are left to the name to decide.
@@ -124,20 +123,6 @@ def suffix_keys(word: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("0"), F.right(word, F.lit(SUFFIX))), *[F.concat(F.lit(str(n)), F.left(word, F.lit(n)), F.lit("~"), F.right(word, F.lit(SUFFIX - n))) for n in range(1, SUFFIX)], F.concat(F.lit(str(SUFFIX)), F.left(word, F.lit(SUFFIX)))))
 
 
-def in_slices(keyed: DataFrame, key: str, ident: str) -> DataFrame:
-    """Rows of blocks of two and more with ``_slices``, ``_slice``: no task holds a common block, and none of its pairs is left out."""
-    size = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1)
-    return keyed.join(size, key).withColumn("_slices", F.ceil(F.col("_size") / max(SLICE, 1)).cast("int")).withColumn("_slice", F.pmod(F.xxhash64(ident), F.col("_slices")).cast("int")).drop("_size")
-
-
-def block_pairs(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each unordered pair of a block's rows once, also across slices: ``a_`` and ``b_`` columns; ``columns[0]`` tells rows apart."""
-    rows = blocks.select(key, "_slice", "_slices", *columns)
-    a = rows.select(key, F.col("_slice").alias("_i"), F.explode(F.sequence(F.col("_slice"), F.col("_slices") - 1)).alias("_j"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("_slice"))).alias("_i"), F.col("_slice").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"a_{columns[0]}") < F.col(f"b_{columns[0]}"))).drop(key, "_i", "_j")
-
-
 def _unmatched(least: float, total: Column) -> Column:
     """Letters that a ratio of ``least`` may leave unmatched in words of this total length; never one too few by floating point."""
     return F.floor((1 - least) * total + 1e-9)

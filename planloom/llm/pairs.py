@@ -1,4 +1,4 @@
-"""Pairs of records of one class."""
+"""Pairs of rows of one block, and of records of one class."""
 
 from __future__ import annotations
 
@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 #: Rows of one class that one task pairs; a larger class is cut into slices paired with each other.
 SLICE = 2000
+#: Rows of a block that one task compares with as many; a larger block is cut into slices, and every slice is paired with every other.
+BLOCK = 500
+
+
+def in_slices(keyed: DataFrame, key: str, ident: str) -> DataFrame:
+    """Rows of blocks of two and more with ``_slices``, ``_slice``: no task holds a common block, and none of its pairs is left out."""
+    size = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1)
+    return keyed.join(size, key).withColumn("_slices", F.ceil(F.col("_size") / max(BLOCK, 1)).cast("int")).withColumn("_slice", F.pmod(F.xxhash64(ident), F.col("_slices")).cast("int")).drop("_size")
+
+
+def block_pairs(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Each unordered pair of a block's rows once, also across slices: ``a_`` and ``b_`` columns; ``columns[0]`` tells rows apart."""
+    rows = blocks.select(key, "_slice", "_slices", *columns)
+    a = rows.select(key, F.col("_slice").alias("_i"), F.explode(F.sequence(F.col("_slice"), F.col("_slices") - 1)).alias("_j"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("_slice"))).alias("_i"), F.col("_slice").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    return a.join(b, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"a_{columns[0]}") < F.col(f"b_{columns[0]}"))).drop(key, "_i", "_j")
 
 
 def class_pairs(members: DataFrame, of: str) -> DataFrame:

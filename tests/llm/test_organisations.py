@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 import planloom.llm.organisations as organisations
+import planloom.llm.pairs as pairs
 from planloom.functions.similarity import lcs_of
 from planloom.llm.forest import roots_of
 from planloom.llm.organisations import organisation_of
@@ -63,8 +64,6 @@ def test_class_pairs_against_all_pairs(spark):
 
 
 def test_a_large_class_is_sliced(spark, monkeypatch):
-    import planloom.llm.pairs as pairs
-
     monkeypatch.setattr(pairs, "SLICE", 10)
     data = [(f"k{i:03}", f"v{i % 5}", "c") for i in range(95)]
     df = pairs.class_pairs(spark.createDataFrame(data, "key string, raw string, cls string"), "cls")
@@ -75,9 +74,9 @@ def test_a_large_class_is_sliced(spark, monkeypatch):
 def test_common_blocks_in_slices_of_one_against_whole_blocks(spark, monkeypatch):
     rest = ["".join(p) for p in itertools.product(("bom", "kel"), ("lus", "fen"), ("ka", "dim"))] + ["bomluska", "bomusdim", "bolmuska", "klefenka", "kelfnka"]
     words = spark.createDataFrame([(w, 60 if len(w) == 8 and w.startswith(("bom", "kel")) else 1) for w in rest], "word string, f long")
-    monkeypatch.setattr(organisations, "SLICE", 1)
+    monkeypatch.setattr(pairs, "BLOCK", 1)
     got = {tuple(r) for r in organisations.word_spellings(words).collect()}
-    monkeypatch.setattr(organisations, "SLICE", 1_000_000)
+    monkeypatch.setattr(pairs, "BLOCK", 1_000_000)
     assert got and got == {tuple(r) for r in organisations.word_spellings(words).collect()}
 
 
