@@ -6,15 +6,18 @@ hold it; the dictionary can be kept between runs, so later runs parse new texts
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.functions import dates
 from planloom.functions.dates import read_moment
 from planloom.operators.skew import heavy_key_join
-from planloom.session import fresh_path, materialise, spread
+from planloom.session import fresh_path, materialise, scratch_dir, spread
 
 KEYS = ["source", "raw", "zone"]
 ENTRY = "source string, raw string, zone string, norm_value string"
@@ -38,6 +41,12 @@ class MomentDictionary:
         self.spark = spark
         self.path = path or fresh_path(spark, "moments")
 
+    @classmethod
+    def shared(cls, spark) -> MomentDictionary:
+        """The dictionary kept in the shared folder for the present reading rules: later runs there parse new texts only; changed rules begin another."""
+        rules = hashlib.sha256(inspect.getsource(dates).encode()).hexdigest()[:16]
+        return cls(spark, f"{scratch_dir(spark)}/planloom/moments-kept-{rules}")
+
     def entries(self) -> DataFrame:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
@@ -46,8 +55,9 @@ class MomentDictionary:
 
     def update(self, distinct: DataFrame) -> DataFrame:
         """Add the entries of ``distinct`` (KEYS) that are missing; returns all entries."""
-        new = distinct.select(*KEYS).join(self.entries(), KEYS, "left_anti")
-        spread(new, *KEYS).mapInPandas(_parse, ENTRY).write.mode("append").parquet(self.path)
+        new = materialise(spread(distinct.select(*KEYS).join(self.entries(), KEYS, "left_anti"), *KEYS), "new-moment-texts")
+        if not new.isEmpty():
+            spread(new, *KEYS).mapInPandas(_parse, ENTRY).write.mode("append").parquet(self.path)
         return self.entries()
 
 
@@ -61,7 +71,7 @@ def normalise_moments(rows: DataFrame, source: str, raw: str, zone: str, diction
     are those of ``functions.dates.read_moment``.
     """
     dictionary = dictionary or MomentDictionary(rows.sparkSession)
-    keyed = rows.select(F.struct("*").alias("_row"), F.col(source).alias("source"), F.col(raw).alias("raw"), F.coalesce(F.col(zone), F.lit("")).alias("zone"))
+    keyed = materialise(rows.select(F.struct("*").alias("_row"), F.col(source).alias("source"), F.col(raw).alias("raw"), F.coalesce(F.col(zone), F.lit("")).alias("zone")), "moment-rows")
     readable = F.coalesce(F.col("source").isNotNull() & F.col("raw").rlike("[0-9]"), F.lit(False))
     counted = materialise(keyed.where(readable).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "moment-texts")
     entries = dictionary.update(counted).join(counted, KEYS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.operators.packed import ADDRESSES, CUT, DOUBLED, QUOTE, SHEETS, Packing, unpack
-from planloom.operators.timestamps import normalise_moments
+from planloom.operators.timestamps import MomentDictionary, normalise_moments
 from planloom.session import table
 
 
@@ -20,7 +20,7 @@ def dated_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return normalise_moments(dated_rows(spark, d), "rec_table", "typed", "site_zone", stated_only=True).select("rec_table", "rec_id", "norm_value").distinct()
+    return normalise_moments(dated_rows(spark, d), "rec_table", "typed", "site_zone", MomentDictionary.shared(spark), stated_only=True).select("rec_table", "rec_id", "norm_value").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -76,3 +76,19 @@ def test_dictionary_parses_only_what_is_new(spark, tmp_path):
     assert kept.update(first).count() == 1
     assert {(r["raw"], r["norm_value"]) for r in kept.update(both).collect()} == {("2026-08-15", "2026-08-15"), ("TBD", None)}
     assert spark.read.parquet(kept.path).count() == 2
+
+
+def test_the_query_keeps_its_dictionary(spark, small, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from planloom.plans.records import p1_found
+
+    parsed = []
+    plain = DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, *a, **k: parsed.append((df.count(), df.rdd.getNumPartitions())) or plain(df, *a, **k))
+    first = {tuple(r) for r in p1_found(spark, small).collect()}
+    assert all(parts >= spark.sparkContext.defaultParallelism for _n, parts in parsed)
+    parsed.clear()
+    assert {tuple(r) for r in p1_found(spark, small).collect()} == first and not parsed
+    kept = MomentDictionary.shared(spark).entries()
+    assert kept.count() == kept.dropDuplicates(["source", "raw", "zone"]).count() > 0
