@@ -74,8 +74,8 @@ def address_parts(raw: Column) -> Column:
 
 
 def taken_apart(distinct: DataFrame) -> DataFrame:
-    """(raw, n) -> (raw, n, PARTS); addresses without number and street are left out."""
-    d = distinct.withColumn("_p", address_parts(F.col("raw"))).where(F.col("_p.head").isNotNull()).select("raw", "n", "_p.*")
+    """(raw, n) -> (raw, n, PARTS); an address without number and street has neither."""
+    d = distinct.withColumn("_p", address_parts(F.col("raw"))).select("raw", "n", "_p.*")
     d = d.withColumn("_w", F.split("head", " "))
     words = F.transform(F.slice("_w", 2, F.size("_w")), lambda w: F.when(w.rlike("[a-z]{2}"), smooth(F.translate(w, "0125689", "olzsbgg"))).otherwise(w))
     directed = F.try_element_at(_lookup(DIRECTIONS), F.get("_w", F.lit(1)))
@@ -193,7 +193,8 @@ def building_of(records: DataFrame, key: str, address: str) -> DataFrame:
     spark = records.sparkSession
     rows = records.where(F.col(address).rlike("[0-9]")).select(F.col(key).alias("key"), F.col(address).alias("raw"))
     counted = spread(rows.groupBy("raw").agg(F.count(F.lit(1)).alias("n")), "raw")
-    typed = materialise(with_known_places(materialise(taken_apart(counted), "address-parts")).withColumn("id", F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in PARTS])), "address-forms")
+    # What has no street is left out when the parts are read back: a condition on them before would have them worked out twice.
+    typed = materialise(with_known_places(materialise(taken_apart(counted), "address-parts").where(F.col("number").isNotNull())).withColumn("id", F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in PARTS])), "address-forms")
     forms = typed.groupBy("id").agg(F.sum("n").alias("n"), *[F.first(p).alias(p) for p in PARTS])
     forms = materialise(forms.withColumn("full", F.size(F.filter(F.array(*PARTS), lambda p: p.isNotNull()))), "address-form-ids")
     pairs = materialise(compared(candidates(forms)), "address-pairs")
