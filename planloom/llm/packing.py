@@ -1,10 +1,11 @@
 """Items of varying length packed into containers of fixed capacity.
 
 The plan is made on the histogram of lengths, whose size depends on the capacity and
-not on the number of items: shallow combinations of lengths that fill a window below
-the capacity are enumerated, their repeat counts are solved against the histogram by
-non-negative least squares and rounded down, and what is left is packed greedily, also
-by counts. Items are then given the slots of their length by their rank in it.
+not on the number of items. In rounds, shallow combinations (at most three different
+lengths, each repeated) that fill a window below the capacity are enumerated where they
+use most of what is left; their repeat counts are solved against the histogram by
+non-negative least squares and rounded. What no round places is packed greedily, also by
+counts. Items are then given the slots of their length by their rank in it.
 """
 
 from __future__ import annotations
@@ -21,61 +22,105 @@ from pyspark.sql.window import Window
 
 from planloom.session import materialise
 
-#: Bins of the histogram at most; up to that capacity lengths are exact, beyond it they are rounded up to whole units.
+#: Steps of the capacity in which lengths are counted, rounded up; lengths are exact for capacities up to it.
 BINS = 4096
-#: Different lengths up to which combinations of DEPTH are enumerated; with more, those of two.
-DEEP = 1024
-#: Items in an enumerated combination at most, the part of the capacity it may leave free, and steps of the solver.
-DEPTH, WINDOW, STEPS = 3, 1 / 1024, 200
+#: Part of the capacity a combination may leave free, steps of the solver, and combinations kept for each length and round.
+WINDOW, STEPS, KEPT = 1 / 1024, 120, 2
+#: Rounds end when one places less than this share of the items left.
+LEAST_GAIN = 0.005
 #: Shards of a length within which items are ranked, so that a length held by very many items is no single task's work.
 SHARDS = 64
 
 
 @dataclass
 class Plan:
-    """Kinds of containers: the bins in each (repeated as often as they occur) and how many containers are of the kind."""
+    """Kinds of containers: the bins in each (repeated as often as they occur) and how many containers are of the kind.
+
+    The first ``solved`` kinds come from combinations, the others from the greedy part.
+    """
 
     unit: float
     kinds: list[tuple[tuple[int, ...], int]]
+    solved: int = 0
 
     @property
     def containers(self) -> int:
         return sum(n for _, n in self.kinds)
 
+    def solved_share(self) -> dict[str, float]:
+        """Share of the containers, items and length that combinations place."""
+        sums = [[sum(n for _, n in part), sum(len(k) * n for k, n in part), sum(sum(k) * n for k, n in part)] for part in (self.kinds[: self.solved], self.kinds)]
+        return {name: x / y if y else 0.0 for name, x, y in zip(("containers", "items", "length"), *sums)}
+
 
-def combinations(held: np.ndarray, room: int, window: int) -> list[tuple[int, ...]]:
-    """Non-increasing tuples of at most DEPTH of the held bins whose sum lies in [room - window, room]."""
-    out: list[tuple[int, ...]] = [(b,) for b in held.tolist() if room - window <= b <= room]
-    bins = np.sort(held)
-    depth = DEPTH if len(bins) <= DEEP else 2
-    for a in bins.tolist():
-        rest = room - a
-        second = bins[(bins <= a) & (bins <= rest)]
-        out += [(a, int(b)) for b in second[second >= rest - window]]
-        if depth >= 3:
-            for b in second[second < rest - window].tolist():
-                third = bins[(bins <= b) & (bins <= rest - b) & (bins >= rest - b - window)]
-                out += [(a, b, int(c)) for c in third]
-    return out
-
-
-def solve_repeats(combos: list[tuple[int, ...]], histogram: np.ndarray) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradient; combinations are columns of a sparse matrix of counts."""
-    if not combos:
+def combinations(left: np.ndarray, room: int, window: int) -> np.ndarray:
+    """Columns (a, times a, b, times b, c): KEPT combinations for each held length a, those that use most of what is left.
+
+    a and b are taken once, twice, half as often as they fit or as often; c, taken once,
+    closes the window if it has to. b and c may be 0 (none). A length is repeated at most
+    as often as it occurs.
+    """
+    held = np.flatnonzero(left)
+    if not len(held):
+        return np.zeros((5, 0), dtype=np.int64)
+    weight = np.zeros(room + 1)
+    # Long lengths are the hard ones to place, so they weigh by their length.
+    weight[held] = np.sqrt(left[held]) * held
+    # The best length to close each rest: of those in [rest - window, rest] the one that occurs most.
+    closing = np.zeros(room + 1, dtype=np.int64)
+    for back in range(window + 1):
+        shifted = np.maximum(np.arange(room + 1) - back, 0)
+        closing = np.where(weight[shifted] > weight[closing], shifted, closing)
+    found = []
+    for a in held.tolist():
+        fit = min(room // a, int(left[a]))
+        for k in sorted({1, min(2, fit), max(1, fit // 2), fit}):
+            rest = room - k * a
+            if rest <= window:
+                found.append((a, k, 0, 0, 0))
+                continue
+            b = held[held <= rest]
+            if not len(b):
+                continue
+            most = np.minimum(rest // b, left[b])
+            m = np.stack([np.ones_like(b), np.minimum(2, most), np.maximum(1, most // 2), most])
+            last = rest - m * b
+            c = np.where(last <= window, 0, closing[last])
+            filled = (last <= window) | (c > 0)
+            score = np.where(filled, (k * weight[a] + m * weight[b] + weight[c]) / (k + m + (c > 0)), -1.0)
+            flat = score.ravel()
+            for i in np.argpartition(-flat, min(KEPT, flat.size - 1))[:KEPT].tolist():
+                if flat[i] > 0:
+                    row, at = divmod(i, len(b))
+                    found.append((a, k, int(b[at]), int(m[row, at]), int(c[row, at])))
+    return np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 5).T
+
+
+def solve_repeats(combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradient, a length's misfit weighed by the length; the matrix of counts is never built."""
+    a, k, b, m, c = combos
+    n = combos.shape[1]
+    if not n:
         return np.zeros(0)
-    column = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
-    row = np.concatenate([np.array(c) for c in combos])
-    times = lambda x: np.bincount(row, weights=x[column], minlength=len(histogram))
-    back = lambda y: np.bincount(column, weights=y[row], minlength=len(combos))
-    v = np.ones(len(combos))
+    size, once = len(histogram), (c > 0).astype(float)
+    by = np.arange(size) / (size - 1)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        return by * (np.bincount(a, x * k, size) + np.bincount(b, x * m, size) + np.bincount(c, x * once, size))
+
+    def back(y: np.ndarray) -> np.ndarray:
+        y = by * y
+        return k * y[a] + m * y[b] + once * y[c]
+
+    v = np.ones(n)
     for _ in range(20):
         v = back(times(v))
         v /= np.linalg.norm(v)
     step = 1 / max(float(v @ back(times(v))), 1e-9)
-    x = z = np.zeros(len(combos))
+    x = z = np.zeros(n)
     t = 1.0
     for _ in range(STEPS):
-        new = np.maximum(0, z - step * back(times(z) - histogram))
+        new = np.maximum(0, z - step * back(times(z) - by * histogram))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, x, t = new + (t - 1) / t_new * (new - x), new, t_new
     return x
@@ -128,19 +173,29 @@ def plan_containers(lengths: dict[int, int], capacity: int, bins: int = BINS) ->
     histogram = np.zeros(room + 1)
     for length, n in lengths.items():
         histogram[int(np.ceil(length / unit))] += n
-    combos = combinations(np.flatnonzero(histogram), room, max(1, int(room * WINDOW)))
-    repeats = np.floor(solve_repeats(combos, histogram) + 1e-6).astype(np.int64)
-    # Rounding down keeps close to the counts; where combinations overlap they may still ask for too much, so the largest go first.
-    left, kinds = histogram.astype(np.int64), []
-    for i in np.argsort(-repeats, kind="stable"):
-        if repeats[i] < 1:
+    left, kinds, window = histogram.astype(np.int64), [], max(1, int(room * WINDOW))
+    while left.sum():
+        combos = combinations(left, room, window)
+        repeats = solve_repeats(combos, left.astype(float))
+        before = int(left.sum())
+        # Rounded half up, the largest first, as far as the lengths last; what rounding leaves is solved again in the next round.
+        for i in np.argsort(-repeats, kind="stable"):
+            wanted = int(repeats[i] + 0.5)
+            if wanted < 1 and before - int(left.sum()) > 0:
+                break
+            a, k, b, m, c = combos[:, i].tolist()
+            need: dict[int, int] = {}
+            for length, count in ((a, k), (b, m), (c, 1)):
+                if length:
+                    need[length] = need.get(length, 0) + count
+            n = min(max(wanted, 1), min(int(left[x]) // y for x, y in need.items()))
+            if n > 0:
+                for x, y in need.items():
+                    left[x] -= y * n
+                kinds.append((tuple(sorted((x for x, y in need.items() for _ in range(y)), reverse=True)), n))
+        if before - int(left.sum()) <= LEAST_GAIN * before:
             break
-        values, counts = np.unique(combos[i], return_counts=True)
-        n = int(min(repeats[i], (left[values] // counts).min()))
-        if n > 0:
-            left[values] -= counts * n
-            kinds.append((combos[i], n))
-    return Plan(unit, kinds + greedy(left, room))
+    return Plan(unit, kinds + greedy(left, room), len(kinds))
 
 
 def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

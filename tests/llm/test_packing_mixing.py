@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,32 @@ def test_plan_uses_each_length_exactly(spark):
     assert packing.pack(sizes(spark, []), "doc_id", "n_tokens", 10).count() == 0
 
 
+def test_combinations_place_most_and_fill_the_window():
+    rng = random.Random(1)
+    lengths = {}
+    for _ in range(60_000):
+        n = min(4096, max(1, int(rng.lognormvariate(5.2, 1.0))))
+        lengths[n] = lengths.get(n, 0) + 1
+    for capacity in (256, 1024, 4096):
+        held = {n: c for n, c in lengths.items() if n <= capacity}
+        plan = packing.plan_containers(held, capacity)
+        used = {}
+        for kind, n in plan.kinds:
+            for b in kind:
+                used[b] = used.get(b, 0) + n
+        assert used == held
+        assert all(capacity - sum(kind) <= max(1, capacity // 1024) for kind, _ in plan.kinds[: plan.solved])
+        assert plan.solved_share()["items"] > 0.8
+        assert sum(n * c for n, c in held.items()) > 0.995 * capacity * plan.containers
+
+
+def test_repeats_solve_a_known_histogram():
+    combos = np.array([[60, 1, 40, 1, 0], [50, 2, 0, 0, 0], [30, 3, 10, 1, 0]]).T
+    histogram = np.zeros(101)
+    histogram[[60, 40, 50, 30, 10]] = [7, 7, 10, 12, 4]
+    assert packing.solve_repeats(combos, histogram) == pytest.approx([7, 5, 4], abs=0.05)
+
+
 def test_temperature():
     sizes_ = {"a": 900.0, "b": 90.0, "c": 10.0}
     assert mixing.tempered(sizes_, 1.0)["a"] == pytest.approx(0.9) and mixing.tempered(sizes_, 0.0)["c"] == pytest.approx(1 / 3)
