@@ -8,6 +8,7 @@ passes use every text, the last pass a part of a permutation that meets the budg
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,19 +80,54 @@ def distinct_texts(docs: DataFrame, key: str, source: str, text: str, size: str)
     return held.groupBy("_h").agg(F.min(F.struct("_k", "_s", "_n")).alias("_m")).select(F.col("_m._k").alias(key), F.col("_m._s").alias(source), F.col("_m._n").alias(size))
 
 
+def mixing_plan(sizes: dict[str, float], targets: dict[str, float], repeats: dict[str, int], budget: float | None = None, least_entropy: float | None = None) -> tuple[dict[str, float], float, float]:
+    """(weights, budget, exponent) of a mixture: by ``mixing_weights``, or, with ``least_entropy``, size shares tempered to that entropy.
+
+    An entropy that even equal shares don't reach gives equal shares. The budget is cut
+    to what the repetition limits allow.
+    """
+    if least_entropy is None:
+        return mixing_weights(sizes, targets, repeats, budget)
+    held = {s: sizes[s] for s in targets if sizes.get(s, 0) > 0}
+    if not held:
+        return {}, 0.0, 1.0
+    exponent = exponent_for_entropy(held, least_entropy)
+    weights = tempered(held, exponent)
+    most = largest_budget(held, weights, repeats)
+    return weights, most if budget is None else min(budget, most), exponent
+
+
+@dataclass
+class Mixture:
+    """The uses of texts, and what they were planned by."""
+
+    uses: DataFrame
+    weights: dict[str, float]
+    budget: float
+    exponent: float
+
+
 def mix(texts: DataFrame, key: str, source: str, size: str, targets: DataFrame, budget: float | None = None, seed: int = 0) -> DataFrame:
+    """``mixture(...).uses``."""
+    return mixture(texts, key, source, size, targets, budget, seed=seed).uses
+
+
+def mixture(texts: DataFrame, key: str, source: str, size: str, targets: DataFrame, budget: float | None = None, least_entropy: float | None = None, passes_of_all: float | None = None, seed: int = 0) -> Mixture:
     """(key, source, copy_no, mix_order, size): the mixture, one row for each use of a text.
 
     texts: distinct texts (see ``distinct_texts``). targets: (source, target_share,
     max_repeats), one row for each source, few enough for the driver. Sources without a
-    target are not used. Sorting by ``mix_order`` interleaves the sources; within a
+    target are not used. ``budget`` is a size; ``passes_of_all`` gives it as a multiple of
+    the size of all texts. Sorting by ``mix_order`` interleaves the sources; within a
     source each pass is a permutation of its own. An empty input gives an empty mixture.
     """
     spark = texts.sparkSession
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.collect()}
     used = materialise(texts.join(F.broadcast(targets.select(F.col("source").alias(source)).distinct()), source).select(key, source, size), "mixture-texts")
     sizes = {r[source]: float(r["n"]) for r in used.groupBy(source).agg(F.sum(size).alias("n")).collect()}
-    weights, total, _ = mixing_weights(sizes, {s: w for s, (w, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, budget)
+    if passes_of_all is not None:
+        budget = passes_of_all * sum(sizes.values())
+    weights, total, exponent = mixing_plan(sizes, {s: w for s, (w, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, budget, least_entropy)
     passes = [(s, min(int(weights[s] * total / sizes[s] + 1e-9), wanted[s][1])) for s in weights]
     whole = dict(passes)
     rest = {s: max(0.0, weights[s] * total - whole[s] * sizes[s]) if whole[s] < wanted[s][1] else 0.0 for s in weights}
@@ -118,12 +154,14 @@ def mix(texts: DataFrame, key: str, source: str, size: str, targets: DataFrame,
     order = Window.partitionBy(source).orderBy("_spot", key)
     edge = last.where(F.col("_part") == F.col("_end")).withColumn("_sum", F.sum(size).over(order)).where(F.col("_sum") <= F.col("_left")).drop("_sum")
     partial = last.where(F.col("_part") < F.col("_end")).unionByName(edge).drop("_part", "_end", "_left")
-    return full.unionByName(partial).select(key, source, "copy_no", F.xxhash64(F.lit(seed + 1), "_spot").alias("mix_order"), size)
+    uses = full.unionByName(partial).select(key, source, "copy_no", F.xxhash64(F.lit(seed + 1), "_spot").alias("mix_order"), size)
+    return Mixture(uses, weights, total, exponent)
 
 
 def mixture_report(mixture: DataFrame, source: str, size: str, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, uses, texts_used, most_uses, tokens, reached_share) of each source with a target; unused ones with zeros."""
     by = mixture.groupBy(source).agg(F.count(F.lit(1)).alias("uses"), F.count_if(F.col("copy_no") == 1).alias("texts_used"), F.max("copy_no").cast("int").alias("most_uses"), F.sum(size).alias("tokens"))
-    total = by.agg(F.sum("tokens").alias("_total"))
     joined = targets.join(by, targets["source"] == by[source], "left").select(targets["source"], "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("uses", "texts_used", "most_uses", "tokens")])
-    return joined.join(F.broadcast(total), F.lit(True)).withColumn("reached_share", F.coalesce(F.col("tokens") / F.col("_total"), F.lit(0.0))).drop("_total")
+    # One row a source, so one partition holds them.
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    return joined.withColumn("reached_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))

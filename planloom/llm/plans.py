@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from planloom.llm.addresses import building_of
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
-from planloom.llm.mixing import distinct_texts, mix, mixture_report
+from planloom.llm.mixing import Mixture, distinct_texts, mixture, mixture_report
 from planloom.llm.organisations import organisation_of
 from planloom.llm.packing import pack
 from planloom.llm.pairs import class_pairs
@@ -76,25 +77,43 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return by.join(F.broadcast(sizes), "pack_name").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
 
 
-def _mixture(spark: SparkSession, d: str) -> DataFrame:
+def _mixture(spark: SparkSession, d: str, **how) -> Mixture:
     sized = materialise(token_counts(table(spark, d, "documents"), ["doc_id", "source", "text"], "text").withColumn("text", F.sha2("text", 256)), "token-counts")
     texts = distinct_texts(sized, "doc_id", "source", "text", "n_tokens")
-    return mix(texts, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+    return mixture(texts, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"), **how)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: one row for each use of a text."""
-    return _mixture(spark, d)
+    return _mixture(spark, d).uses
+
+
+def _shares(spark: SparkSession, d: str, **how) -> DataFrame:
+    mixed = _mixture(spark, d, **how)
+    planned = F.create_map(*[x for s, w in mixed.weights.items() for x in (F.lit(s), F.lit(w))]) if mixed.weights else F.lit(None).cast("map<string,double>")
+    report = mixture_report(mixed.uses, "source", "n_tokens", table(spark, d, "mix_targets"))
+    return report.withColumn("planned_share", F.coalesce(F.try_element_at(planned, F.col("source")), F.lit(0.0))).withColumn("exponent", F.lit(mixed.exponent))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached."""
-    return mixture_report(_mixture(spark, d), "source", "n_tokens", table(spark, d, "mix_targets"))
+    return _shares(spark, d)
+
+
+def p8_budget_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mixture as large as all texts once: the exponent is bisected down from the targets until the repetition limits hold."""
+    return _shares(spark, d, passes_of_all=1.0)
+
+
+def p8_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mixture tempered from the sources' sizes to nine tenths of the entropy of equal shares."""
+    sources = table(spark, d, "mix_targets").count()
+    return _shares(spark, d, least_entropy=0.9 * math.log(max(sources, 1)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_spans(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_budget_shares": p8_budget_shares, "p8_entropy_shares": p8_entropy_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -102,6 +102,20 @@ def test_mixture_meets_shares_and_limits(spark):
     assert mixing.mix(texts.limit(0), "doc_id", "source", "n_tokens", targets).count() == 0
 
 
+def test_a_budget_and_an_entropy_are_met_by_bisection(spark):
+    rows = [(i, "a" if i < 800 else "b" if i < 950 else "c", 10) for i in range(1000)]
+    texts = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mixture(texts, "doc_id", "source", "n_tokens", targets, passes_of_all=1.0)
+    report = {r["source"]: r for r in mixing.mixture_report(mixed.uses, "source", "n_tokens", targets).collect()}
+    assert 0 < mixed.exponent < 1 and mixed.budget == pytest.approx(10_000, rel=1e-6)
+    assert all(r["most_uses"] <= r["max_repeats"] for r in report.values())
+    assert all(report[s]["reached_share"] == pytest.approx(w, abs=0.01) for s, w in mixed.weights.items())
+    assert mixing.largest_budget({"a": 8000.0, "b": 1500.0, "c": 500.0}, mixing.tempered({"a": 8000.0, "b": 1500.0, "c": 500.0}, mixed.exponent + 0.01, {"a": 0.5, "b": 0.3, "c": 0.2}), {"a": 1, "b": 2, "c": 3}) < 10_000
+    mixed = mixing.mixture(texts, "doc_id", "source", "n_tokens", targets, least_entropy=1.0)
+    assert mixing.entropy(mixed.weights) == pytest.approx(1.0, abs=1e-6) and mixed.exponent < 1
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a " * 30_000), (5, "<|endoftext|>")], "id long, t string")
     got = {r["id"]: r["n_tokens"] for r in tokens.token_counts(df, ["id"], "t").collect()}
