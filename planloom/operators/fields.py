@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.functions.text import fingerprint, format_phone, phone_digits, title_case
-from planloom.operators.lines import exploded, first_in_range, first_match, next_lines, numbered_items, ordered_distinct
+from planloom.operators.lines import exploded, first_match, next_lines, numbered_items, ordered_distinct
+from planloom.operators.patterns import BUILDING_CODE
+from planloom.operators.predicates import is_disclaimer
+from planloom.operators.predicates import is_person as is_person_name
 
 # What the fields look like in drawings.
 PHONE = r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
@@ -20,16 +23,11 @@ NUMBERED_SHEET = r"^SHT\s+([0-9]+)\s*[-–]\s*(.+)$"
 CODED_SHEET = r"^([0-9]?[A-Z]{1,3}-?[0-9]{2,3}[A-Z]?)\s+([A-Z][A-Z0-9\s/&.,'-]{3,60})$"
 NO_SHEET_TITLE = r"\b(ABBREVIATION|SYMBOL|LEGEND|NORTH|PENNY|POUND)\b"
 ALTERNATE = r"^(?:BID\s+)?ALTERNATE\s*(?:NO\.?\s*)?#?\s*([A-Z0-9]+)(?:\s*[-–—:]\s*(.+))?$"
-BUILDING_CODE = r"\b(CALIFORNIA\s+(?:BUILDING|ELECTRICAL|MECHANICAL|PLUMBING|FIRE|GREEN\s+BUILDING|ENERGY|ADMINISTRATIVE)\s+CODE)\b"
 LIMITS = r"\b(LIMITS?\s+OF\s+WORK|MODERNIZATION\s+INC\.?\s*[0-9]+|INCREMENT\s+[0-9]+)\b"
-COMPANY = r"\b(COMPANY|INC\.?|LLC|LLP|LTD\.?|CORP\.?|ARCHITECTS?|ENGINEERING|ENGINEERS?|CONSULTANTS?|GROUP|ASSOCIATES|PARTNERS)\b"
 STREET_LINE = r"^[0-9]{1,6}\s+[A-Z0-9][\w\s.,#'-]{3,80}$"
 STATE_ZIP = r"\b[A-Z]{2}\s+[0-9]{5}(?:-[0-9]{4})?\b"
-DISCIPLINE = r"^(CIVIL|STRUCTURAL|MECHANICAL|ELECTRICAL|TECHNOLOGY|ACOUSTICAL|LANDSCAPE|FIRE\s+PROTECTION)\s+(ENGINEER|ENGINEERING|CONSULTANT)S?\s*$"
-NOT_A_NAME = (
-    r"\b(ELEMENTARY|MIDDLE|HIGH|SCHOOL|DISTRICT|APPROVAL|STAMP|SHEET|TITLE|DETAIL|VIEW|ROOM|NUMBER|AGENCY|PROFESSIONAL|COVER|PLAN|INDEX|COMPANY|ENGINEER|ARCHITECT|CENTER|CENTRE|PLOTTED|DATE|CONSTRUCTION|DOCUMENTS|"
-    r"INFRASTRUCTURE|UPGRADE|PROJECT|DRAFTING|ITEMS|CONTRACTOR|FURNISHED|PROTECTION|ASSOCIATION|POINT|WORK|ACADEMY|LANGUAGE|HOMES|VISTA|CODE|DATA|LEGEND|NORTH|ASSISTIVE|LISTENING|SYSTEM|DEVICE|ALARM|FIRE|SMOKE|PANEL)\b"
-)
+ALTERNATE_NOISE = r"\b(MATERIALS?|DESIGNS?|METHODS?\s+OF\s+CONSTRUCTION|WASTE\s+REDUCTION|ALUMINUM|ABBREVIATION|WORKING\s+WITH\s+LOCAL)\b"
+CODE_NAME = r"CALIFORNIA\s+(?:BUILDING|ELECTRICAL|MECHANICAL|PLUMBING|FIRE|GREEN\s+BUILDING|ENERGY|ADMINISTRATIVE)\s+CODE"
 SHEETS_MOST, ALTERNATES_MOST, CODES_MOST, LIMITS_MOST, SITES_MOST = 40, 10, 8, 8, 4
 
 
@@ -49,13 +47,6 @@ def is_state_number_line(text: Column) -> Column:
     return (F.length(text) <= 60) & (F.regexp_count(text, F.lit(STATE_NUMBER)) <= 1) & ~text.rlike(r"(?i)\((?:E)\)|\b(RAMP|RESTROOM|SOLAR|PLAYGROUND|PARKING|BUILDING|BLDG)\b")
 
 
-def is_person_name(text: Column) -> Column:
-    """Two or three words of letters, none of a sheet's vocabulary, the last no school's short form."""
-    words = F.split(F.trim(text), r"\s+")
-    shaped = F.size(words).between(2, 3) & F.forall(words, lambda w: w.rlike(r"^\p{L}[\p{L}.'-]*$"))
-    return shaped & ~text.rlike(f"(?i){NOT_A_NAME}") & ~F.upper(F.element_at(words, -1)).isin("ES", "MS", "HS")
-
-
 def header_fields(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, job_number, license, state_number, phone, status, work_type, date_text): the first of each by line; null where none."""
     text = F.col("text")
@@ -86,18 +77,23 @@ def alternates(docs: DataFrame, doc: str = "doc_id", most: int = ALTERNATES_MOST
     t = F.regexp_replace("text", r"^[0-9]+\.\s+", "")
     label = F.upper(caught(t, ALTERNATE))
     entry = F.concat_ws(" — ", F.concat(F.lit("Alternate "), label), F.nullif(F.trim(caught(t, ALTERNATE, 2)), F.lit("")))
-    return ordered_distinct(exploded(docs, doc).where(label.isNotNull()).withColumn("entry", entry), doc, "line_no", "entry", most)
+    real = label.isNotNull() & (F.length(label) <= 6) & ~label.isin("ALT") & ~t.rlike(f"(?i){ALTERNATE_NOISE}") & (F.length(entry) <= 160)
+    return ordered_distinct(exploded(docs, doc).where(real).withColumn("entry", entry), doc, "line_no", "entry", most)
 
 
 def building_codes(docs: DataFrame, doc: str = "doc_id", most: int = CODES_MOST) -> DataFrame:
-    """(doc, position, entry): distinct building codes named."""
-    found = exploded(docs, doc).withColumn("entry", F.regexp_replace(caught(F.col("text"), BUILDING_CODE), r"\s+", " ")).where(F.col("entry").isNotNull())
-    return ordered_distinct(found, doc, "line_no", "entry", most)
+    """(doc, position, entry): distinct building codes listed: lines that begin with a code's name; of a long line the name alone."""
+    t = F.col("text")
+    long = (F.length(t) > 120) | (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) > 18)
+    line = F.when(long, caught(t, rf"({CODE_NAME}(?:\s*\([^)]{{0,40}}\))?)")).otherwise(t)
+    entry = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"\s+", " "), "^[ –-]+|[ –-]+$", ""), r"^20[0-9]{2}\s+", "")
+    listed = t.rlike(f"(?i){BUILDING_CODE}") & ~is_disclaimer(t) & line.rlike(rf"(?i)^(?:20[0-9]{{2}}\s+)?{CODE_NAME}\b")
+    return ordered_distinct(exploded(docs, doc).where(listed).withColumn("entry", entry), doc, "line_no", "entry", most)
 
 
 def limits_of_work(docs: DataFrame, doc: str = "doc_id", most: int = LIMITS_MOST) -> DataFrame:
     """(doc, position, entry): distinct lines on the limits of the work."""
-    found = exploded(docs, doc).where(F.col("text").rlike(f"(?i){LIMITS}") & (F.length("text") <= 160)).withColumn("entry", F.col("text"))
+    found = exploded(docs, doc).where(F.col("text").rlike(f"(?i){LIMITS}") & F.length("text").between(8, 160) & ~is_disclaimer(F.col("text"))).withColumn("entry", F.col("text"))
     return ordered_distinct(found, doc, "line_no", "entry", most)
 
 
@@ -108,14 +104,6 @@ def two_line_addresses(docs: DataFrame, doc: str = "doc_id", most: int = SITES_M
     return ordered_distinct(entries, doc, "line_no", "entry", most, fingerprint(F.col("entry")))
 
 
-def consultants(docs: DataFrame, reach: int = 5, doc: str = "doc_id") -> DataFrame:
-    """(doc, line_no, discipline, firm): each discipline heading with the first company line below it."""
-    heading = lambda t: F.regexp_replace(t, r"(?<=\b[A-Z]) (?=[A-Z]\b)", "").rlike(f"(?i){DISCIPLINE}")
-    found = first_in_range(docs, heading, lambda t: t.rlike(f"(?i){COMPANY}") & ~heading(t), after=reach, doc=doc)
-    titles = exploded(docs, doc).select(doc, F.col("line_no").alias("anchor_no"), F.col("text").alias("discipline"))
-    return found.join(titles, [doc, "anchor_no"]).select(doc, F.col("anchor_no").alias("line_no"), "discipline", F.col("text").alias("firm"))
-
-
 def stamp_tokens(phone: Column, address: Column) -> Column:
     """Tokens by which a firm's stamp is known: the phone's last ten and seven digits, and the words of the address."""
     digits = phone_digits(phone)
@@ -134,4 +122,4 @@ def firms_by_stamp(records: DataFrame, key: str, tokens: str, stamps: DataFrame,
     return shared.groupBy(key).agg(F.max(F.struct("n", "firm"))["firm"].alias("firm"))
 
 
-__all__ = ["alternates", "building_codes", "consultants", "firms_by_stamp", "header_fields", "is_person_name", "limits_of_work", "numbered_items", "sheet_index", "stamp_tokens", "status_name", "two_line_addresses"]
+__all__ = ["alternates", "building_codes", "firms_by_stamp", "header_fields", "is_person_name", "limits_of_work", "numbered_items", "sheet_index", "stamp_tokens", "status_name", "two_line_addresses"]

@@ -15,8 +15,8 @@ COVER_SIGNS = (
     (r"CONSULTANTS", 3),
     (r"\b\d{5}\.\d{2}\b[\s\S]*CONSTRUCTION DOCUMENT|CONSTRUCTION DOCUMENT[\s\S]*\b\d{5}\.\d{2}\b", 3),
     (r"ABBREVIATIONS|DRAFTING ITEMS", -10),
-    (r"TITLE 24|LIST OF CODES", -6),
-    (r"ACCESSIBILITY|DISPERSAL", -5),
+    (r"PARTIAL LIST OF APPLICABLE|TITLE 24", -6),
+    (r"\(E\) ACCESSIBLE|SAFETY DISPERSAL AREA", -5),
 )
 FIRST_PAGES, SURE, NEIGHBOUR, FALLBACK = 12, 10, 4, 3
 SCOPE_SIGN = r"\b(SCOPE(\s+OF\s+WORK)?|SUMMARY\s+OF\s+WORK|GENERAL\s+NOTES)\b"

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values.
-WORK_VERB = (
-    r"\b(REMOVE|DISPOSE|INSTALL|NAIL|FASTEN|PERFORM|APPLY|CLEAN|TEST|ENSURE|REPLACE|PROVIDE|PATCH|PAINT|POWER\s+WASH|MECHANICALLY|FLOOD\s+COAT|RECEIVE|COORDINATE|DEMOLISH|SEAL|PRIME|SAND|REPAIR|ESTABLISH|FURNISH|COMPLY|REVIEW|HOLD|SLEEVED|PROHIBITED|RE-?CABLE|CUTOVER)\b"
-)
-JUNK_ITEM = r"^(TYP\.?|XP|BLDG\.?\s*#?|V\.?I\.?F\.?|\d+[A-Z]?-\d+[A-Z]?|\d{1,3}(\.\d+)?|N/?A)$|V\.?I\.?F\.?|TYP\.\s*\d|^\(?[EN]\)\s"
-TITLE_BLOCK = r"^(PHONE|TEL|FAX|AGENT|DATE|CHK\s*BY|DWG\s*BY|DRAWN\s*BY|REVISION|SHEET|OF)\b|\b(PHONE|FAX)\s*\(?\d{3}\)?|\bSCHOOL\s+DISTRICT\b|^[A-Z]{2,4}$|^\d{1,2}-\d{1,2}-\d{2,4}$"
-KEY_LETTERS, ALIKE_SHARE, TOP_SECTIONS = 96, 0.7, 8
-
+from planloom.operators.predicates import is_generic_title, is_quality_item, list_score
 
-def _like(x: Column, pattern: str) -> Column:
-    return x.rlike(f"(?i){pattern}")
+#: Letters of an item that are compared, share of items at which two lists are alike, and sections reported. Fixed values.
+KEY_LETTERS, ALIKE_SHARE, TOP_SECTIONS = 96, 0.7, 8
 
 
 def item_key(x: Column) -> Column:
@@ -23,22 +16,9 @@ def item_key(x: Column) -> Column:
     return F.substring(F.upper(F.trim(F.regexp_replace(x, r"\s+", " "))), 1, KEY_LETTERS)
 
 
-def is_work_item(x: Column) -> Column:
-    """A real item: 20 letters, three words, no title-block text or junk, and a work verb or 50 letters."""
-    words = F.size(F.filter(F.split(x, r"\s+"), lambda w: w.rlike(r"\p{L}{3,}")))
-    return (F.length(x) >= 20) & ~_like(x, TITLE_BLOCK) & ~_like(x, JUNK_ITEM) & (words >= 3) & (_like(x, WORK_VERB) | (F.length(x) >= 50))
-
-
-def is_prose(x: Column) -> Column:
-    """A line of running text: 28 characters, 18 letters, mostly letters, a work verb or more than 60 characters."""
-    letters = F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
-    return (F.length(x) >= 28) & (letters >= 18) & (letters > 0.45 * F.length(x)) & (_like(x, WORK_VERB) | (F.length(x) > 60))
-
-
 def section_score(items: Column) -> Column:
-    """Sum over items of +3 for a work verb, -5 for title-block text, +1 for more than 40 characters; -1 for none."""
-    points = lambda x: F.when(_like(x, WORK_VERB), 3).otherwise(0) + F.when(_like(x, TITLE_BLOCK), -5).otherwise(0) + F.when(F.length(x) > 40, 1).otherwise(0)
-    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit(-1)).otherwise(F.aggregate(items, F.lit(0), lambda acc, x: acc + points(F.coalesce(x, F.lit("")))))
+    """Sum over items of +3 for a work verb, -5 for title-block chrome, +1 for more than 40 characters; -1 for none."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.lit(-1)).otherwise(list_score(F.transform(items, lambda x: F.coalesce(x, F.lit("")))))
 
 
 def shared_share(a: Column, b: Column) -> Column:
@@ -47,10 +27,6 @@ def shared_share(a: Column, b: Column) -> Column:
     return F.when((F.size(ka) > 0) & (F.size(kb) > 0), F.size(F.array_intersect(ka, kb)) / F.least(F.size(ka), F.size(kb))).otherwise(F.lit(0.0))
 
 
-def is_general_title(title: Column) -> Column:
-    return F.trim(title).rlike(r"(?i)^scope(\s+of\s+work)?\s*:?$")
-
-
 def without_repeats(sections: Column) -> Column:
     """Sections (structs with title and items) in order, without those much like an earlier one.
 
@@ -63,7 +39,7 @@ def without_repeats(sections: Column) -> Column:
         alike = F.transform(acc, lambda k: shared_share(k["items"], s["items"]) >= ALIKE_SHARE)
         at = F.array_position(alike, F.lit(True))
         old = F.try_element_at(acc, F.greatest(at, F.lit(1)).cast("int"))
-        better = (is_general_title(old["title"]) & ~is_general_title(s["title"])) | ((is_general_title(old["title"]) == is_general_title(s["title"])) & (F.size(s["items"]) > F.size(old["items"])))
+        better = (is_generic_title(old["title"]) & ~is_generic_title(s["title"])) | ((is_generic_title(old["title"]) == is_generic_title(s["title"])) & (F.size(s["items"]) > F.size(old["items"])))
         put = F.transform(acc, lambda k, i: F.when(i + 1 == at, s).otherwise(k))
         return F.when(at == 0, F.array_append(acc, s)).when(better, put).otherwise(acc)
 
@@ -75,7 +51,7 @@ def section_rows(records: DataFrame, key: str, sections: str) -> DataFrame:
     """(key, section_no, title, items, kept): each section with its real items in ``kept``; missing items are empty arrays."""
     each = records.select(key, F.posexplode(sections).alias("_p", "_s"))
     items = F.coalesce(F.filter(F.col("_s.items"), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    return each.select(key, (F.col("_p") + 1).alias("section_no"), F.col("_s.title").alias("title"), items.alias("items"), F.filter(items, is_work_item).alias("kept"))
+    return each.select(key, (F.col("_p") + 1).alias("section_no"), F.col("_s.title").alias("title"), items.alias("items"), F.filter(items, is_quality_item).alias("kept"))
 
 
 def top_sections(rows: DataFrame, key: str, most: int = TOP_SECTIONS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from planloom.functions.text import fingerprint, format_phone, letter_ratio, phone_digits, prettify, sentence_case, stem_name, truncate
 from planloom.operators import changes, detections, fields, labels, lines, reports, sections
 from planloom.operators.lines import document_lines, exploded
+from planloom.operators.predicates import is_work_prose
 from planloom.plans.reference_sql import SQL
 from planloom.session import table
 
@@ -83,7 +84,7 @@ def captured_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def work_prose(spark: SparkSession, d: str) -> DataFrame:
-    return exploded(_docs(spark, d)).where(sections.is_prose(F.col("text"))).select("doc_id", "line_no", letter_ratio(F.col("text")).alias("letters"))
+    return exploded(_docs(spark, d)).where(is_work_prose(F.col("text"))).select("doc_id", "line_no", letter_ratio(F.col("text")).alias("letters"))
 
 
 def label_map(spark: SparkSession, d: str) -> DataFrame:

@@ -11,20 +11,12 @@ lines AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1)::INT AS li
 _PHONE = r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
 _DATE = r"\b([0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\s+[0-9]{1,2},?\s+[0-9]{4}|[0-9]{1,2}\s+(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\s+[0-9]{4})\b"
 _SHOWN = "CASE WHEN length({d}) = 10 THEN '(' || {d}[1:3] || ') ' || {d}[4:6] || '-' || {d}[7:10] ELSE trim({x}) END"
-_VERB = r"\b(REMOVE|DISPOSE|INSTALL|NAIL|FASTEN|PERFORM|APPLY|CLEAN|TEST|ENSURE|REPLACE|PROVIDE|PATCH|PAINT|POWER\s+WASH|MECHANICALLY|FLOOD\s+COAT|RECEIVE|COORDINATE|DEMOLISH|SEAL|PRIME|SAND|REPAIR|ESTABLISH|FURNISH|COMPLY|REVIEW|HOLD|SLEEVED|PROHIBITED|RE-?CABLE|CUTOVER)\b"
-_BLOCK = r"^(PHONE|TEL|FAX|AGENT|DATE|CHK\s*BY|DWG\s*BY|DRAWN\s*BY|REVISION|SHEET|OF)\b|\b(PHONE|FAX)\s*\(?\d{3}\)?|\bSCHOOL\s+DISTRICT\b|^[A-Z]{2,4}$|^\d{1,2}-\d{1,2}-\d{2,4}$"
-_JUNK = r"^(TYP\.?|XP|BLDG\.?\s*#?|V\.?I\.?F\.?|\d+[A-Z]?-\d+[A-Z]?|\d{1,3}(\.\d+)?|N/?A)$|V\.?I\.?F\.?|TYP\.\s*\d|^\(?[EN]\)\s"
 _DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
 # Sections with their items; a missing list counts as an empty one.
 _SECTIONS = """
 s AS (SELECT doc_id, unnest(scope_sections) AS x, generate_subscripts(scope_sections, 1)::INT AS section_no FROM requirement),
 sections AS (SELECT doc_id, section_no, x.title AS title, coalesce(list_filter(x.items, lambda i: i IS NOT NULL), []) AS items FROM s)
 """
-_POINTS = f"CASE WHEN len(items) = 0 THEN -1 ELSE list_sum(list_transform(items, lambda i: CASE WHEN regexp_matches(i, '{_VERB}', 'i') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(i, '{_BLOCK}', 'i') THEN -5 ELSE 0 END + CASE WHEN length(i) > 40 THEN 1 ELSE 0 END)) END"
-_WORK_ITEM = (
-    f"length(i) >= 20 AND NOT regexp_matches(i, '{_BLOCK}', 'i') AND NOT regexp_matches(i, '{_JUNK}', 'i') AND len(list_filter(regexp_split_to_array(i, '\\s+'), lambda w: regexp_matches(w, '\\p{{L}}{{3,}}'))) >= 3 "
-    f"AND (regexp_matches(i, '{_VERB}', 'i') OR length(i) >= 50)"
-)
 _RULES = "(count IS NULL OR (count BETWEEN 0 AND 100000)) AS count_ok, (unit_cost IS NULL OR (NOT isnan(unit_cost) AND unit_cost BETWEEN 0 AND 1e7)) AS cost_ok"
 _DISTINCT_DETECTIONS = "SELECT doc_id, device_type, count(*) AS detected FROM (SELECT DISTINCT doc_id, page_number, device_type, confidence, detection, detected_at FROM detections) GROUP BY ALL"
 _BLANK = "nullif(trim({x}, chr(9) || chr(10) || chr(13) || ' ' || chr(160)), '')"
@@ -69,8 +61,9 @@ SELECT doc_id, {_SHOWN.format(d="d", x="x")} AS phone FROM n""",
 e AS (SELECT doc_id, line_no, CASE WHEN m.n <> '' THEN 'SHT ' || m.n || ' — ' || trim(m.t)
   WHEN c.n <> '' AND len(regexp_split_to_array(trim(c.t), '\s+')) >= 2 AND NOT regexp_matches(c.t, '\b(ABBREVIATION|SYMBOL|LEGEND|NORTH|PENNY|POUND)\b', 'i') THEN upper(c.n) || ' — ' || trim(c.t) END AS entry FROM t),
 found AS (SELECT * FROM e WHERE entry IS NOT NULL), {_ordered("found", "entry", 40)}""",
-    "alternates": rf"""WITH {_LINES}, t AS (SELECT doc_id, line_no, regexp_extract(regexp_replace(text, '^[0-9]+\.\s+', ''), '^(?:BID\s+)?ALTERNATE\s*(?:NO\.?\s*)?#?\s*([A-Z0-9]+)(?:\s*[-–—:]\s*(.+))?$', ['n', 't'], 'i') AS m FROM lines),
-found AS (SELECT doc_id, line_no, 'Alternate ' || upper(m.n) || CASE WHEN trim(m.t) <> '' THEN ' — ' || trim(m.t) ELSE '' END AS entry FROM t WHERE m.n <> ''), {_ordered("found", "entry", 10)}""",
+    "alternates": rf"""WITH {_LINES}, t AS (SELECT doc_id, line_no, regexp_replace(text, '^[0-9]+\.\s+', '') AS x, regexp_extract(regexp_replace(text, '^[0-9]+\.\s+', ''), '^(?:BID\s+)?ALTERNATE\s*(?:NO\.?\s*)?#?\s*([A-Z0-9]+)(?:\s*[-–—:]\s*(.+))?$', ['n', 't'], 'i') AS m FROM lines),
+named AS (SELECT doc_id, line_no, 'Alternate ' || upper(m.n) || CASE WHEN trim(m.t) <> '' THEN ' — ' || trim(m.t) ELSE '' END AS entry FROM t WHERE m.n <> '' AND length(m.n) <= 6 AND upper(m.n) <> 'ALT' AND NOT regexp_matches(x, '\b(MATERIALS?|DESIGNS?|METHODS?\s+OF\s+CONSTRUCTION|WASTE\s+REDUCTION|ALUMINUM|ABBREVIATION|WORKING\s+WITH\s+LOCAL)\b', 'i')),
+found AS (SELECT * FROM named WHERE length(entry) <= 160), {_ordered("found", "entry", 10)}""",
     "numbered_items": rf"""WITH {_LINES}, t AS (SELECT doc_id, line_no, text, regexp_extract(text, '^([0-9]+)\.(?:\s+|$)(.*)$', ['n', 't']) AS m, regexp_matches(text, '^(Regards|Thanks),?$', 'i') AS ends FROM lines),
 i AS (SELECT *, sum(CASE WHEN m.n <> '' THEN 1 ELSE 0 END) OVER w AS island FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 o AS (SELECT *, max(CASE WHEN ends AND m.n = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, island ORDER BY line_no) AS ended FROM i WHERE island > 0)
@@ -94,11 +87,6 @@ g AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY line_no) AS seg FROM t
 SELECT doc_id, seg::INT AS segment_no, max(CASE WHEN h = 1 THEN text END) AS title, count(*) FILTER (WHERE h = 0)::INT AS body_lines, coalesce(string_agg(CASE WHEN h = 0 THEN text END, chr(10) ORDER BY line_no), '') AS body FROM n WHERE k <= 90 GROUP BY doc_id, seg""",
     "captured_lines": rf"""WITH {_LINES}, t AS (SELECT *, CASE WHEN regexp_matches(text, '^(GENERAL NOTES|SCOPE OF WORK):?$', 'i') THEN 1 WHEN regexp_matches(text, '^(REGARDS|THANKS|ADDENDUM NO|RE: job|Minutes of)', 'i') THEN 0 END AS flag FROM lines),
 s AS (SELECT *, last_value(flag IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS state FROM t) SELECT doc_id, line_no, text FROM s WHERE state = 1 AND flag IS NULL""",
-    "work_prose": rf"""WITH {_LINES}, t AS (SELECT *, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS n FROM lines)
-SELECT doc_id, line_no, n / length(text) AS letters FROM t WHERE length(text) >= 28 AND n >= 18 AND n > 0.45 * length(text) AND (regexp_matches(text, '{_VERB}', 'i') OR length(text) > 60)""",
-    "section_scores": f"WITH {_SECTIONS} SELECT doc_id, section_no, title, len(items)::INT AS items, len(list_filter(items, lambda i: {_WORK_ITEM}))::INT AS kept, ({_POINTS})::INT AS score FROM sections",
-    "top_sections": f"""WITH {_SECTIONS}, p AS (SELECT doc_id, section_no, ({_POINTS})::INT AS score FROM sections), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, section_no) AS rank FROM p)
-SELECT doc_id, rank::INT AS rank, section_no, score FROM r WHERE rank <= 8""",
     "section_overlap": rf"""WITH {_SECTIONS}, k AS (SELECT doc_id, section_no, list_distinct(list_filter(list_transform(items, lambda i: upper(trim(regexp_replace(i, '\s+', ' ', 'g')))[1:96]), lambda i: i <> '')) AS keys FROM sections)
 SELECT a.doc_id, a.section_no, round(CASE WHEN len(a.keys) > 0 AND len(b.keys) > 0 THEN len(list_intersect(a.keys, b.keys)) / least(len(a.keys), len(b.keys)) ELSE 0.0 END, 6) AS shared FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.section_no = a.section_no + 1""",
     "metadata_merged": f"""SELECT id, {_first("p.title", "r.project_title")} AS title, {_first("p.client", "r.client")} AS client, {_first("p.architect", "r.provider_company")} AS architect, {_first("p.engineer", "r.consultants[1].firm")} AS engineer,

@@ -92,8 +92,3 @@ def test_fields(spark):
     assert [r["entry"] for r in fields.two_line_addresses(d).collect()] == ["196 Hedding Street, SAN JOSE, CA 95126"]
     people = spark.createDataFrame([("Jane Doe",), ("SHEET TITLE",), ("Jane",), ("Loma Vista ES",)], "t string").select(fields.is_person_name(F.col("t"))).collect()
     assert [r[0] for r in people] == [True, False, False, False]
-
-
-def test_consultants_with_spaced_heading(spark):
-    d = docs(spark, "M E C H A N I C A L ENGINEER\nJane Doe\nAcme Engineers Inc.\nELECTRICAL ENGINEER\nVolt Group")
-    assert [(r["discipline"], r["firm"]) for r in fields.consultants(d).orderBy("line_no").collect()][-1] == ("ELECTRICAL ENGINEER", "Volt Group")

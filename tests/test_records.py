@@ -49,7 +49,7 @@ def test_sections(spark):
     assert [(x["title"], len(x["items"])) for x in kept] == [("Roof Scope", 3), ("Other", 1)]
     scored = {r["section_no"]: r["score"] for r in sections.top_sections(sections.section_rows(df, "k", "s"), "k").collect()}
     assert scored[4] == scored[5] == -1 and scored[2] == 9
-    items = spark.createDataFrame([("PHONE (408) 715-4470 EXT",), ("V.I.F.",), (work[0],)], "x string").select(sections.is_work_item(F.col("x"))).collect()
+    items = spark.createDataFrame([("PHONE (408) 715-4470 EXT",), ("V.I.F.",), (work[0],)], "x string").select(sections.is_quality_item(F.col("x"))).collect()
     assert [r[0] for r in items] == [False, False, True]
 
 
