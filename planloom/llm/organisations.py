@@ -115,12 +115,25 @@ def typed_organisations(counted: DataFrame) -> DataFrame:
 
 
 def suffix_keys(word: Column) -> Column:
-    """Array of a word's block keys: its suffix, and shorter suffixes refined by as many first letters.
+    """Array of a word's block keys with their kinds: its suffix, and shorter suffixes refined by as many first letters.
 
     A word with one error shares a key with the right one wherever the error is, from
     six letters on.
     """
-    return F.array_distinct(F.array(F.concat(F.lit("0"), F.right(word, F.lit(SUFFIX))), *[F.concat(F.lit(str(n)), F.left(word, F.lit(n)), F.lit("~"), F.right(word, F.lit(SUFFIX - n))) for n in range(1, SUFFIX)], F.concat(F.lit(str(SUFFIX)), F.left(word, F.lit(SUFFIX)))))
+    return F.array(*[F.struct(F.lit(n).alias("kind"), F.concat(F.lit(str(n)), key).alias("key")) for n, key in enumerate(_key_parts(word))])
+
+
+def _key_parts(word: Column) -> list[Column]:
+    return [F.right(word, F.lit(SUFFIX)), *[F.concat(F.left(word, F.lit(n)), F.lit("~"), F.right(word, F.lit(SUFFIX - n))) for n in range(1, SUFFIX)], F.left(word, F.lit(SUFFIX))]
+
+
+def _met_first(kind: Column, a: Column, b: Column) -> Column:
+    """Whether a pair shares no key of an earlier kind: it is compared in the first block that both are in, so pairs needn't be made distinct."""
+    same = [x == y for x, y in zip(_key_parts(a), _key_parts(b))]
+    met = F.lit(True)
+    for n in range(1, len(same)):
+        met = F.when(kind == n, ~F.greatest(*same[:n]) if n > 1 else ~same[0]).otherwise(met)
+    return met
 
 
 def _unmatched(least: float, total: Column) -> Column:
@@ -130,14 +143,14 @@ def _unmatched(least: float, total: Column) -> Column:
 
 def word_spellings(words: DataFrame) -> DataFrame:
     """(word, spelling, ratio, clear): the more frequent words that each word of (word, f) may be a spelling of, those about as alike as the best; clear ones are more frequent by RARE_SHARE."""
-    blocks = in_slices(words.select("word", "f", letter_mask(F.col("word")).alias("m"), F.explode(suffix_keys(F.col("word"))).alias("key")), "key", "word")
-    both = block_pairs(blocks, "key", ["word", "f", "m"])
+    blocks = in_slices(words.select("word", "f", letter_mask(F.col("word")).alias("m"), F.explode(suffix_keys(F.col("word"))).alias("_k")).select("word", "f", "m", "_k.*"), "key", "word")
+    both = block_pairs(blocks, "key", ["word", "f", "m", "kind"])
     total = F.length("a_word") + F.length("b_word")
     rare = F.least("a_f", "b_f") <= F.greatest(F.lit(RARE_COUNT), RARE_SHARE * F.greatest("a_f", "b_f"))
     # Bounds that no pair of this ratio exceeds, cheapest first: lengths, letters.
     near = (F.abs(F.length("a_word") - F.length("b_word")) <= _unmatched(CANDIDATE, total)) & (differing_letters(F.col("a_m"), F.col("b_m")) <= _unmatched(CANDIDATE, total))
     up = F.struct("b_f", "b_word") > F.struct("a_f", "a_word")
-    pairs = both.where(rare & near).select(F.when(up, F.col("a_word")).otherwise(F.col("b_word")).alias("word"), F.when(up, F.col("b_word")).otherwise(F.col("a_word")).alias("spelling"), (F.least("a_f", "b_f") <= RARE_SHARE * F.greatest("a_f", "b_f")).alias("clear")).distinct()
+    pairs = both.where(rare & near & _met_first(F.col("a_kind"), F.col("a_word"), F.col("b_word"))).select(F.when(up, F.col("a_word")).otherwise(F.col("b_word")).alias("word"), F.when(up, F.col("b_word")).otherwise(F.col("a_word")).alias("spelling"), (F.least("a_f", "b_f") <= RARE_SHARE * F.greatest("a_f", "b_f")).alias("clear"))
     alike = materialise(pairs.withColumn("ratio", lcs_similarity(F.col("word"), F.col("spelling"))).where(F.col("ratio") >= CANDIDATE), "word-spellings")
     best = alike.groupBy("word").agg(F.max("ratio").alias("_best"))
     return alike.join(best, "word").where(F.col("ratio") >= F.col("_best") - ABOUT).select("word", "spelling", "ratio", "clear")

@@ -52,7 +52,8 @@ def pigeonhole_candidates(values: DataFrame, refs: DataFrame, value: str, ref: s
     v = v.withColumn("_shift", F.explode(F.sequence(-F.col("_k"), F.col("_k"))))
     start, size = _segment(F.col(value), F.col("_len"), F.col("_k"), F.col("_no"), F.col("_shift"))
     v = v.where((start >= 1) & (start + size - 1 <= F.length(value)))
-    v = v.withColumn("_seg", F.substring(F.col(value), start, size)).drop("_shift", "_k").distinct()
+    # A segment that a value holds at two of these places only repeats a pair, and pairs are made distinct at the end, when few are left.
+    v = v.withColumn("_seg", F.substring(F.col(value), start, size)).drop("_shift", "_k")
     pairs = v.join(r, [*same, "_len", "_no", "_seg"]).drop("_len", "_no", "_seg")
     distance = F.levenshtein(F.col(value), F.col(ref))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= F.col("_k")).drop("_k").distinct()
