@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from planloom.functions.similarity import differing_letters, lcs_similarity, letter_mask
 from planloom.llm.canonical import despaced
 from planloom.llm.forest import roots_of
-from planloom.llm.pairs import block_pairs, in_slices
+from planloom.llm.pairs import block_matches, block_pairs, in_slices
 from planloom.llm.pigeonhole import pigeonhole_candidates
 from planloom.operators.skew import heavy_key_join
 from planloom.session import materialise, spread
@@ -141,17 +141,29 @@ def _unmatched(least: float, total: Column) -> Column:
     return F.floor((1 - least) * total + 1e-9)
 
 
-def word_spellings(words: DataFrame) -> DataFrame:
-    """(word, spelling, ratio, clear): the more frequent words that each word of (word, f) may be a spelling of, those about as alike as the best; clear ones are more frequent by RARE_SHARE."""
-    blocks = in_slices(words.select("word", "f", letter_mask(F.col("word")).alias("m"), F.explode(suffix_keys(F.col("word"))).alias("_k")).select("word", "f", "m", "_k.*"), "key", "word")
-    both = block_pairs(blocks, "key", ["word", "f", "m", "kind"])
-    total = F.length("a_word") + F.length("b_word")
-    rare = F.least("a_f", "b_f") <= F.greatest(F.lit(RARE_COUNT), RARE_SHARE * F.greatest("a_f", "b_f"))
+def _spelt(both: DataFrame) -> DataFrame:
+    """(word, spelling, ratio, clear) of pairs of block rows that are alike enough, the rarer word first; each pair once."""
+    total = F.col("a_n") + F.col("b_n")
+    share = F.least("a_f", "b_f") <= RARE_SHARE * F.greatest("a_f", "b_f")
+    rare = share | (F.least("a_f", "b_f") <= RARE_COUNT)
     # Bounds that no pair of this ratio exceeds, cheapest first: lengths, letters.
-    near = (F.abs(F.length("a_word") - F.length("b_word")) <= _unmatched(CANDIDATE, total)) & (differing_letters(F.col("a_m"), F.col("b_m")) <= _unmatched(CANDIDATE, total))
+    near = (F.abs(F.col("a_n") - F.col("b_n")) <= _unmatched(CANDIDATE, total)) & (differing_letters(F.col("a_m"), F.col("b_m")) <= _unmatched(CANDIDATE, total))
     up = F.struct("b_f", "b_word") > F.struct("a_f", "a_word")
-    pairs = both.where(rare & near & _met_first(F.col("a_kind"), F.col("a_word"), F.col("b_word"))).select(F.when(up, F.col("a_word")).otherwise(F.col("b_word")).alias("word"), F.when(up, F.col("b_word")).otherwise(F.col("a_word")).alias("spelling"), (F.least("a_f", "b_f") <= RARE_SHARE * F.greatest("a_f", "b_f")).alias("clear"))
-    alike = materialise(pairs.withColumn("ratio", lcs_similarity(F.col("word"), F.col("spelling"))).where(F.col("ratio") >= CANDIDATE), "word-spellings")
+    pairs = both.where(rare & near & _met_first(F.col("a_kind"), F.col("a_word"), F.col("b_word")))
+    told = pairs.select(F.when(up, F.col("a_word")).otherwise(F.col("b_word")).alias("word"), F.when(up, F.col("b_word")).otherwise(F.col("a_word")).alias("spelling"), share.alias("clear"))
+    return told.withColumn("ratio", lcs_similarity(F.col("word"), F.col("spelling"))).where(F.col("ratio") >= CANDIDATE)
+
+
+def word_spellings(words: DataFrame) -> DataFrame:
+    """(word, spelling, ratio, clear): the more frequent words that each word of (word, f) may be a spelling of, those about as alike as the best; clear ones are more frequent by RARE_SHARE."""
+    told = words.select("word", "f", F.length("word").alias("n"), letter_mask(F.col("word")).alias("m"), F.explode(suffix_keys(F.col("word"))).alias("_k")).select("word", "f", "n", "m", "_k.*")
+    columns = ["word", "f", "n", "m", "kind"]
+    common = F.col("f") > RARE_COUNT
+    by_frequent = materialise(_spelt(block_matches(in_slices(told, "key", "word"), "key", columns, common)), "word-spellings")
+    # What a far more frequent word explains needs no comparison with words as rare as itself.
+    explained = by_frequent.where(F.col("clear") & (F.col("ratio") >= WORD_RATIO)).select("word").distinct()
+    rest = in_slices(told.where(~common).join(explained, "word", "left_anti"), "key", "word")
+    alike = by_frequent.unionByName(materialise(_spelt(block_pairs(rest, "key", columns)), "rare-word-spellings"))
     best = alike.groupBy("word").agg(F.max("ratio").alias("_best"))
     return alike.join(best, "word").where(F.col("ratio") >= F.col("_best") - ABOUT).select("word", "spelling", "ratio", "clear")
 

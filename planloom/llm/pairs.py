@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of one class that one task pairs; a larger class is cut into slices paired with each other.
@@ -25,6 +25,16 @@ def block_pairs(blocks: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return a.join(b, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"a_{columns[0]}") < F.col(f"b_{columns[0]}"))).drop(key, "_i", "_j")
 
 
+def block_matches(blocks: DataFrame, key: str, columns: list[str], chosen: Column) -> DataFrame:
+    """As ``block_pairs``, of the pairs with at least one ``chosen`` row only: no task meets the others."""
+    rows = blocks.select(key, "_slice", "_slices", chosen.alias("_chosen"), *columns)
+    every = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))
+    a = rows.select(key, F.col("_slice").alias("_i"), every.alias("_j"), F.col("_chosen").alias("_too"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = rows.where("_chosen").select(key, every.alias("_i"), F.col("_slice").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    one, other = F.col(f"a_{columns[0]}"), F.col(f"b_{columns[0]}")
+    return a.join(b, [key, "_i", "_j"]).where((one != other) & (~F.col("_too") | (one < other))).drop(key, "_i", "_j", "_too")
+
+
 def class_pairs(members: DataFrame, of: str) -> DataFrame:
     """(rec_a, rec_b), smaller key first, of records in one class whose raw strings differ; distinct.
 
