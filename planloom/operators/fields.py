@@ -104,22 +104,28 @@ def two_line_addresses(docs: DataFrame, doc: str = "doc_id", most: int = SITES_M
     return ordered_distinct(entries, doc, "line_no", "entry", most, fingerprint(F.col("entry")))
 
 
+#: House number and first word of the street, a direction between them left out.
+STAMP_STREET = r"\b([0-9]+)\s+(?:(?:north|south|east|west|[nsew])\b\.?\s+)?([a-z]{3,})"
+
+
 def stamp_tokens(phone: Column, address: Column) -> Column:
-    """Tokens by which a firm's stamp is known: the phone's last ten and seven digits, and the words of the address."""
-    digits = phone_digits(phone)
-    numbers = F.when(digits.isNotNull(), F.array(F.right(digits, F.lit(10)), F.right(digits, F.lit(7)))).otherwise(F.array().cast("array<string>"))
-    words = F.filter(F.split(F.lower(F.coalesce(address, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
-    return F.array_distinct(F.concat(numbers, words))
+    """Tokens by which a firm's stamp is known: the phone's last seven digits, and house number with street; a town or postcode alone is too weak."""
+    digits = F.right(phone_digits(phone), F.lit(7))
+    street = F.lower(F.coalesce(address, F.lit("")))
+    house = F.when(street.rlike(STAMP_STREET), F.concat_ws(" ", F.regexp_extract(street, STAMP_STREET, 1), F.regexp_extract(street, STAMP_STREET, 2)))
+    return F.filter(F.array(digits, house), lambda t: t.isNotNull())
 
 
-def firms_by_stamp(records: DataFrame, key: str, tokens: str, stamps: DataFrame, least: int = 2) -> DataFrame:
-    """(key, firm): the firm whose stamp shares most tokens with the record, ``least`` at least.
+def firms_by_stamp(records: DataFrame, key: str, tokens: str, stamps: DataFrame) -> DataFrame:
+    """(key, firm): the firm most recorded with one of the record's tokens.
 
-    stamps: (firm, token). An equality join on tokens finds the candidates, so neither side is crossed with the other.
+    stamps: (firm, token), one row for each record that shows both. A token's best firm is
+    found before the join, so a token held by many spellings or rows pairs with one row.
     """
-    each = records.select(key, F.explode(tokens).alias("token"))
-    shared = each.join(stamps.distinct(), "token").groupBy(key, "firm").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return shared.groupBy(key).agg(F.max(F.struct("n", "firm"))["firm"].alias("firm"))
+    counted = stamps.groupBy("token", "firm").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("token").agg(F.max(F.struct("n", "firm")).alias("_b"))
+    each = records.select(key, F.explode(tokens).alias("token")).join(best, "token")
+    return each.groupBy(key).agg(F.max("_b")["firm"].alias("firm"))
 
 
 __all__ = ["alternates", "building_codes", "firms_by_stamp", "header_fields", "is_person_name", "limits_of_work", "numbered_items", "sheet_index", "stamp_tokens", "status_name", "two_line_addresses"]

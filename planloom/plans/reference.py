@@ -110,10 +110,12 @@ def top_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_overlap(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("scope_sections")
-    pairs = table(spark, d, "requirement").where(F.size(s) >= 2).select("doc_id", F.posexplode(F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: F.struct(x["items"].alias("a"), F.get(s, i + 1)["items"].alias("b")))).alias("_p", "_x"))
+    """How much any two sections of a requirement share; pairs that share nothing are left out."""
     none = F.array().cast("array<string>")
-    return pairs.select("doc_id", (F.col("_p") + 1).alias("section_no"), F.round(sections.shared_share(F.coalesce("_x.a", none), F.coalesce("_x.b", none)), 6).alias("shared"))
+    each = table(spark, d, "requirement").select("doc_id", F.col("scope_sections").alias("_s"), F.posexplode("scope_sections").alias("_i", "_a"))
+    pairs = each.select("doc_id", "_i", F.col("_a.items").alias("_x"), F.posexplode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("_k", "_b"))
+    told = pairs.select("doc_id", (F.col("_i") + 1).alias("section_no"), (F.col("_i") + F.col("_k") + 2).alias("other_no"), F.round(sections.shared_share(F.coalesce("_x", none), F.coalesce("_b.items", none)), 6).alias("shared"))
+    return told.where("shared > 0")
 
 
 def section_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -140,11 +142,10 @@ def provider_phones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stamp_firms(spark: SparkSession, d: str) -> DataFrame:
-    """Firms of records that name none, by the stamp (phone and address) under which exactly one firm is recorded."""
+    """Firms of records that name none, by the stamp (phone or street) they are recorded with elsewhere."""
     r = table(spark, d, "requirement").select("doc_id", F.trim("provider_company").alias("firm"), fields.stamp_tokens(F.col("provider_phone"), F.col("provider_address")).alias("tokens"))
-    named = r.where((F.col("firm") != "") & ~F.upper("firm").isin("N/A", "TBD")).select("firm", F.explode("tokens").alias("token")).distinct()
-    alone = named.groupBy("token").agg(F.min("firm").alias("firm"), F.count(F.lit(1)).alias("n")).where("n = 1").select("firm", "token")
-    return fields.firms_by_stamp(r.where(F.coalesce(F.col("firm"), F.lit("")).isin("", "N/A", "TBD")), "doc_id", "tokens", alone)
+    bare = F.coalesce(F.upper("firm"), F.lit("")).isin("", "N/A", "TBD")
+    return fields.firms_by_stamp(r.where(bare), "doc_id", "tokens", r.where(~bare).select("firm", F.explode("tokens").alias("token")))
 
 
 def projects_recent(spark: SparkSession, d: str) -> DataFrame:

@@ -88,7 +88,7 @@ SELECT doc_id, seg::INT AS segment_no, max(CASE WHEN h = 1 THEN text END) AS tit
     "captured_lines": rf"""WITH {_LINES}, t AS (SELECT *, CASE WHEN regexp_matches(text, '^(GENERAL NOTES|SCOPE OF WORK):?$', 'i') THEN 1 WHEN regexp_matches(text, '^(REGARDS|THANKS|ADDENDUM NO|RE: job|Minutes of)', 'i') THEN 0 END AS flag FROM lines),
 s AS (SELECT *, last_value(flag IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS state FROM t) SELECT doc_id, line_no, text FROM s WHERE state = 1 AND flag IS NULL""",
     "section_overlap": rf"""WITH {_SECTIONS}, k AS (SELECT doc_id, section_no, list_distinct(list_filter(list_transform(items, lambda i: upper(trim(regexp_replace(i, '\s+', ' ', 'g')))[1:96]), lambda i: i <> '')) AS keys FROM sections)
-SELECT a.doc_id, a.section_no, round(CASE WHEN len(a.keys) > 0 AND len(b.keys) > 0 THEN len(list_intersect(a.keys, b.keys)) / least(len(a.keys), len(b.keys)) ELSE 0.0 END, 6) AS shared FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.section_no = a.section_no + 1""",
+SELECT * FROM (SELECT a.doc_id, a.section_no, b.section_no AS other_no, round(CASE WHEN len(a.keys) > 0 AND len(b.keys) > 0 THEN len(list_intersect(a.keys, b.keys)) / least(len(a.keys), len(b.keys)) ELSE 0.0 END, 6) AS shared FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.section_no > a.section_no) WHERE shared > 0""",
     "metadata_merged": f"""SELECT id, {_first("p.title", "r.project_title")} AS title, {_first("p.client", "r.client")} AS client, {_first("p.architect", "r.provider_company")} AS architect, {_first("p.engineer", "r.consultants[1].firm")} AS engineer,
   {_first("p.project_address", "r.site_address")} AS project_address FROM projects p LEFT JOIN requirement r ON r.doc_id = p.id""",
     "provider_summary": f"SELECT doc_id, nullif(concat_ws(' · ', {', '.join(_BLANK.format(x=c) for c in ('provider_company', 'provider_agent', 'provider_phone', 'provider_address'))}), '') AS summary FROM requirement",
@@ -131,9 +131,9 @@ SELECT doc_id, job_number, license, state_number, CASE WHEN x IS NOT NULL THEN {
   CASE WHEN contains(s, 'CONSTRUCTION DOCUMENT') THEN 'Construction Document' WHEN contains(s, 'BID SET') OR s = 'FOR BID' THEN 'Bid Set' WHEN contains(s, 'DSA SUBMITTAL') THEN 'DSA Submittal' ELSE {_title("trim(s)")} END AS status,
   {_title("wt")} AS work_type, date_text FROM n WHERE coalesce(job_number, license, state_number, x, st, wt, date_text) IS NOT NULL""",
     "report_json": "SELECT id, '{' || array_to_string(list_filter([" + ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c}) END""" for c in ("id", "title", "client", "architect")) + "], lambda x: x IS NOT NULL), ',') || '}' AS report FROM projects",
-    "stamp_firms": f"""WITH n AS (SELECT doc_id, trim(provider_company) AS firm, provider_address AS y, {_DIGITS.format(x="provider_phone")} AS d FROM requirement), l AS (SELECT *, CASE WHEN length(d) = 11 AND d[1] = '1' THEN d[2:] ELSE d END AS e FROM n),
-r AS (SELECT doc_id, firm, list_distinct(list_concat(CASE WHEN length(e) >= 7 THEN [right(e, 10), right(e, 7)] ELSE [] END, list_filter(regexp_split_to_array(lower(coalesce(y, '')), '[^a-z0-9]+'), lambda w: length(w) > 1))) AS tokens FROM l),
-named AS (SELECT DISTINCT firm, unnest(tokens) AS token FROM r WHERE firm <> '' AND upper(firm) NOT IN ('N/A', 'TBD')), alone AS (SELECT token, min(firm) AS firm FROM named GROUP BY token HAVING count(*) = 1),
-bare AS (SELECT doc_id, unnest(tokens) AS token FROM r WHERE coalesce(firm, '') IN ('', 'N/A', 'TBD')), shared AS (SELECT doc_id, firm, count(*) AS k FROM bare JOIN alone USING (token) GROUP BY ALL HAVING count(*) >= 2)
-SELECT doc_id, firm FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, firm DESC) AS rn FROM shared) WHERE rn = 1""",
+    "stamp_firms": f"""WITH n AS (SELECT doc_id, trim(provider_company) AS firm, lower(coalesce(provider_address, '')) AS y, {_DIGITS.format(x="provider_phone")} AS d FROM requirement), l AS (SELECT *, CASE WHEN length(d) = 11 AND d[1] = '1' THEN d[2:] ELSE d END AS e,
+  regexp_extract(y, '\b([0-9]+)\s+(?:(?:north|south|east|west|[nsew])\b\.?\s+)?([a-z]{{3,}})', ['h', 's']) AS m FROM n),
+r AS (SELECT doc_id, firm, unnest(list_filter([CASE WHEN length(e) >= 7 THEN right(e, 7) END, CASE WHEN m.h <> '' THEN m.h || ' ' || m.s END], lambda t: t IS NOT NULL)) AS token FROM l),
+c AS (SELECT token, firm, count(*) AS k FROM r WHERE coalesce(upper(firm), '') NOT IN ('', 'N/A', 'TBD') GROUP BY ALL), best AS (SELECT token, firm, k FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY k DESC, firm DESC) AS rn FROM c) WHERE rn = 1)
+SELECT doc_id, firm FROM (SELECT r.doc_id, best.firm, row_number() OVER (PARTITION BY r.doc_id ORDER BY k DESC, best.firm DESC) AS rn FROM r JOIN best USING (token) WHERE coalesce(upper(r.firm), '') IN ('', 'N/A', 'TBD')) WHERE rn = 1""",
 }
