@@ -131,7 +131,7 @@ SELECT doc_id, job_number, license, state_number, CASE WHEN x IS NOT NULL THEN {
   CASE WHEN contains(s, 'CONSTRUCTION DOCUMENT') THEN 'Construction Document' WHEN contains(s, 'BID SET') OR s = 'FOR BID' THEN 'Bid Set' WHEN contains(s, 'DSA SUBMITTAL') THEN 'DSA Submittal' ELSE {_title("trim(s)")} END AS status,
   {_title("wt")} AS work_type, date_text FROM n WHERE coalesce(job_number, license, state_number, x, st, wt, date_text) IS NOT NULL""",
     "report_json": "SELECT id, '{' || array_to_string(list_filter([" + ", ".join(f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || to_json({c}) END""" for c in ("id", "title", "client", "architect")) + "], lambda x: x IS NOT NULL), ',') || '}' AS report FROM projects",
-    "stamp_firms": f"""WITH n AS (SELECT doc_id, trim(provider_company) AS firm, lower(coalesce(provider_address, '')) AS y, {_DIGITS.format(x="provider_phone")} AS d FROM requirement), l AS (SELECT *, CASE WHEN length(d) = 11 AND d[1] = '1' THEN d[2:] ELSE d END AS e,
+    "stamp_firms": rf"""WITH n AS (SELECT doc_id, trim(provider_company) AS firm, lower(coalesce(provider_address, '')) AS y, {_DIGITS.format(x="provider_phone")} AS d FROM requirement), l AS (SELECT *, CASE WHEN length(d) = 11 AND d[1] = '1' THEN d[2:] ELSE d END AS e,
   regexp_extract(y, '\b([0-9]+)\s+(?:(?:north|south|east|west|[nsew])\b\.?\s+)?([a-z]{{3,}})', ['h', 's']) AS m FROM n),
 r AS (SELECT doc_id, firm, unnest(list_filter([CASE WHEN length(e) >= 7 THEN right(e, 7) END, CASE WHEN m.h <> '' THEN m.h || ' ' || m.s END], lambda t: t IS NOT NULL)) AS token FROM l),
 c AS (SELECT token, firm, count(*) AS k FROM r WHERE coalesce(upper(firm), '') NOT IN ('', 'N/A', 'TBD') GROUP BY ALL), best AS (SELECT token, firm, k FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY k DESC, firm DESC) AS rn FROM c) WHERE rn = 1)
