@@ -176,7 +176,9 @@ _WEAK_BEFORE = re.compile(r"(?i:par|por|as|hi|inspector|foreman)\s+$")
 _SECOND = re.compile(r"(?:\s*,\s*|\s+(?i:and|y|et|or)\s+)" + _FIRST)
 _AFTER_NAME_PLAIN = ("will hold the", "wrote on", "asked for", "reported the", "confirmed by", "a signé", "s crew")
 AFTER_NAME = re.compile(rf"(?:(?<=\s)(?:{'|'.join(_AFTER_NAME_PLAIN[:-1])})|['’]s crew)")
-_CAPITALISED = re.compile(r"(?<![\w'’.-])[A-ZÀ-ÖØ-Þ][^\W\d_]{1,}(?![\w'’-])")
+#: Capitalised words; what stands around them is looked at only where they are given names.
+_CAPITALISED = re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]+")
+_BEFORE_WORD, _AFTER_WORD = re.compile(r"[\w'’.-]"), re.compile(r"[\w'’-]")
 
 
 #: Capitalised words that begin a clause after a name, by their endings and as short words.
@@ -265,7 +267,7 @@ def _names(text: str, lower: str) -> Iterator[tuple[int, int, float]]:
                 yield at, stop, 0.8
     # A given name, an initial perhaps, and a surname: nearby words decide where the given name is a word too.
     for m in _CAPITALISED.finditer(text):
-        if m[0].lower() not in GIVEN:
+        if m[0].lower() not in GIVEN or _AFTER_WORD.match(text, m.end()) or (m.start() and _BEFORE_WORD.match(text, m.start() - 1)):
             continue
         found = read_name(text, m.start())
         if found and found[1] >= 2 and not _PLACE_AFTER.match(text, found[0]):
