@@ -54,7 +54,9 @@ def _type_of(word: Column) -> Column:
     for short, words in TYPES.items():
         full = words.split()[0]
         if len(full) >= 5:
-            found = F.coalesce(found, F.when((F.length(word) >= 5) & (F.levenshtein(word, F.lit(full)) <= (2 if len(full) >= 6 else 1)), F.lit(short)))
+            edits = 2 if len(full) >= 6 else 1
+            # With a limit the distance of words that are too different, most of them, isn't worked out; it is -1.
+            found = F.coalesce(found, F.when((F.length(word) >= 5) & (F.levenshtein(word, F.lit(full), edits) >= 0), F.lit(short)))
     return found
 
 
