@@ -60,24 +60,27 @@ def _type_of(word: Column) -> Column:
     return found
 
 
-def address_parts(raw: Column) -> Column:
-    """Struct of the parts of a typed address; a part not found is null. Suite and unit are dropped, the state is not used."""
+def address_text(raw: Column) -> Column:
+    """A typed address in lower case without number signs, suites, units and states."""
     t = F.lower(despaced(F.replace(raw, F.lit("\u00a0"), F.lit(" "))))
     t = F.regexp_replace(t, r"^\W*(?:#|no\.?|nr\.?)\s*(?=[0-9]+\s+[0-9]?[a-z])|(?<=[\s,;])(?:#|no\.)\s*(?=[0-9]+\s+[0-9]?[a-z])", "")
     t = F.regexp_replace(t, r"(?:(?<=^|[\s,;\-])(?:suite|ste|unit|apartment|apt|room|rm|floor)\b\.?\s*#?\s*(?:[a-z]?-?[0-9]+[a-z]?|[a-z])\b|#\s*[a-z]?[0-9]+[a-z]?\b)\s*,?", " ")
     t = F.regexp_replace(t, rf"(?<=[\s,])(?:{'|'.join(STATE_NAMES)})\b\.?(?=\s*(?:$|[,;\n]|-\s|[0-9]{{5}}))", " ")
     t = F.regexp_replace(t, rf"(?<=[\s,])(?:{'|'.join(STATE_CODES)})\b\.?(?=\s*(?:$|[,;\n]|-\s|[0-9]{{5}}))", " , ")
-    postcode = F.regexp_extract(t, r"(?<!^)(?<![0-9])([0-9]{5})(?:-[0-9]{4})?(?![0-9])(?!.*[0-9]{5})", 1)
-    t = F.regexp_replace(t, r"(?<!^)(?<![0-9])[0-9]{5}(?:-[0-9]{4})?(?![0-9])", " , ")
-    parts = F.filter(F.transform(F.split(t, r"[,;\n\r\t|]|\s-(?:\s|$)"), lambda p: F.trim(F.regexp_replace(F.replace(p, F.lit("."), F.lit(" ")), r"[^a-z0-9]+", " "))), lambda p: p != "")
-    head = F.try_element_at(F.filter(parts, lambda p: p.rlike(r"^[0-9]+[a-z]? [0-9]?[a-z]")), F.lit(1))
-    towns = F.filter(parts, lambda p: ~p.rlike(r"[0-9]"))
-    return F.struct(F.nullif(postcode, F.lit("")).alias("postcode"), head.alias("head"), F.try_element_at(towns, F.lit(1)).alias("place"))
+    return t
 
 
 def taken_apart(distinct: DataFrame) -> DataFrame:
     """(raw, n) -> (raw, n, PARTS); an address without number and street has neither."""
-    d = distinct.withColumn("_p", address_parts(F.col("raw"))).select("raw", "n", "_p.*")
+    # In steps with names, so that what several parts are read from is worked out once.
+    d = distinct.withColumn("_t", address_text(F.col("raw")))
+    d = d.withColumn("postcode", F.nullif(F.regexp_extract("_t", r"(?<!^)(?<![0-9])([0-9]{5})(?:-[0-9]{4})?(?![0-9])(?!.*[0-9]{5})", 1), F.lit("")))
+    bare = F.regexp_replace("_t", r"(?<!^)(?<![0-9])[0-9]{5}(?:-[0-9]{4})?(?![0-9])", " , ")
+    parts = F.filter(F.transform(F.split(bare, r"[,;\n\r\t|]|\s-(?:\s|$)"), lambda p: F.trim(F.regexp_replace(F.replace(p, F.lit("."), F.lit(" ")), r"[^a-z0-9]+", " "))), lambda p: p != "")
+    d = d.withColumn("_parts", parts)
+    head = F.try_element_at(F.filter("_parts", lambda p: p.rlike(r"^[0-9]+[a-z]? [0-9]?[a-z]")), F.lit(1))
+    place = F.try_element_at(F.filter("_parts", lambda p: ~p.rlike(r"[0-9]")), F.lit(1))
+    d = d.withColumn("head", head).withColumn("place", place)
     d = d.withColumn("_w", F.split("head", " "))
     words = F.transform(F.slice("_w", 2, F.size("_w")), lambda w: F.when(w.rlike("[a-z]{2}"), smooth(F.translate(w, "0125689", "olzsbgg"))).otherwise(w))
     directed = F.try_element_at(_lookup(DIRECTIONS), F.get("_w", F.lit(1)))
