@@ -58,13 +58,17 @@ NAMES = {
 }
 
 
-def discipline_names(spark: SparkSession, refs: DataFrame) -> DataFrame:
-    """(discipline_code, discipline_name) of the list itself and of all other names; the bounded lists above, not data."""
+def other_names() -> list[tuple[str, str]]:
+    """(canonical name, other name): every stem with every ending, longer stems alone, and the names without ending."""
     rows = []
     for canonical, stems in STEMS.items():
         rows += [(canonical, f"{stem} {ending}") for stem in stems.split(", ") for ending in ENDINGS]
         rows += [(canonical, stem) for stem in stems.split(", ") if len(stem) > 4]
-    rows += [(canonical, name) for canonical, names in NAMES.items() for name in names.split(", ")]
-    others = spark.createDataFrame(rows, "canonical string, other string")
+    return rows + [(canonical, name) for canonical, names in NAMES.items() for name in names.split(", ")]
+
+
+def discipline_names(spark: SparkSession, refs: DataFrame) -> DataFrame:
+    """(discipline_code, discipline_name) of the list itself and of all other names; the bounded lists above, not data."""
+    others = spark.createDataFrame(other_names(), "canonical string, other string")
     named = refs.join(others, F.col("discipline_name") == F.col("canonical")).select("discipline_code", F.col("other").alias("discipline_name"))
     return refs.select("discipline_code", "discipline_name").unionByName(named).distinct()

@@ -30,7 +30,7 @@ CANDIDATE, WORD_RATIO, NAME_RATIO, WHOLE_RATIO = 0.75, 0.8, 0.87, 0.9
 ABOUT = 0.06
 #: A word is a spelling of another only if it is rarer: this share of the other at most, or this count. Only the share is proof by itself: under it the
 #: right word needn't be written elsewhere in the same name, and may be less alike if the name as a whole is.
-RARE_SHARE, RARE_COUNT = 0.05, 2
+RARE_SHARE, RARE_COUNT = 0.08, 2
 #: Longest name whose spellings are combined; in one of more words each word takes its best spelling.
 COMBINED = 3
 
@@ -193,9 +193,11 @@ def resolved_names(cores: DataFrame) -> DataFrame:
     )
     fits = F.when(F.col("k") == 1, F.col("ratio") >= WHOLE_RATIO).otherwise((F.col("ratio") >= NAME_RATIO) & (F.col("clear") | (F.col("least") >= WORD_RATIO)))
     fitting = materialise(combos.where(fits & (F.col("core") != F.col("id"))).join(cores.select(F.col("id").alias("core"), F.col("n").alias("support")), "core", "left").where(F.col("support").isNotNull() | (F.col("clear") & (F.col("least") >= WORD_RATIO))), "organisation-choices")
-    top = fitting.groupBy("id").agg(F.max("ratio").alias("_top"))
-    supported = fitting.join(top, "id").where(F.col("ratio") >= F.col("_top") - ABOUT / 2)
-    chosen = supported.groupBy("id").agg(F.max(F.struct(F.coalesce("support", F.lit(0)).alias("support"), "ratio", "core"))["core"].alias("parent"))
+    # A name written elsewhere goes before one that only its words speak for, unless it is much less alike.
+    top = fitting.groupBy("id").agg(F.max("ratio").alias("_top"), F.max(F.when(F.col("support").isNotNull(), F.col("ratio"))).alias("_held"))
+    held = F.coalesce(F.col("_held") >= F.col("_top") - 2 * ABOUT, F.lit(False))
+    near = F.when(held, F.col("support").isNotNull() & (F.col("ratio") >= F.col("_held") - ABOUT / 2)).otherwise(F.col("ratio") >= F.col("_top") - ABOUT / 2)
+    chosen = fitting.join(top, "id").where(near).groupBy("id").agg(F.max(F.struct(F.coalesce("support", F.lit(0)).alias("support"), "ratio", "core"))["core"].alias("parent"))
     # Each step takes a more frequent spelling of a word, so chains end.
     return roots_of(cores.select("id"), chosen).select("id", F.col("root").alias("core"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from planloom.llm.addresses import building_of
 from planloom.llm.canonical import map_to_list
 from planloom.llm.disciplines import discipline_names
+from planloom.llm.plans_sql import p4_sql
 from planloom.llm.mixing import Mixture, distinct_texts, mixture, mixture_report
 from planloom.llm.organisations import organisation_of
 from planloom.llm.packing import pack
@@ -116,4 +117,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_budget_shares": p8_budget_shares, "p8_entropy_shares": p8_entropy_shares, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+SQL = {"p4_found": p4_sql()}
