@@ -195,3 +195,15 @@ SQL |= {
     "top_sections": f"""WITH {_SECTIONS}, p AS (SELECT doc_id, section_no, ({_SCORED})::INT AS score FROM sections), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, section_no) AS rank FROM p)
 SELECT doc_id, rank::INT AS rank, section_no, score FROM r WHERE rank <= 8""",
 }
+_BULLET = r"trim(regexp_replace(text, '^[-•* ]+', ''))"
+_EVENTS = rf"""t AS (SELECT doc_id, line_no, text, {_BULLET} AS bare, regexp_matches(text, '^[-•*]') AS bullet, {_has(_BULLET, P.SUMMARY_STRONG)} AS strong, length({_BULLET}) > 40 AND {_has(_BULLET, P.SUMMARY_VERB)} AS spoken,
+  contains(upper(text), 'GENERAL SCOPE OF WORK INCLUDES') OR contains(upper(text), 'PROJECT DESCRIPTION') AS opens, {_has('text', P.SCOPE_HEADING)} OR upper(text) IN ('CONSULTANTS', 'REVISIONS', 'SHEET INDEX') AS closes FROM lines),
+u AS (SELECT *, CASE WHEN opens THEN 1 WHEN closes AND NOT bullet AND NOT strong AND NOT spoken THEN 0 END AS event FROM t),
+v AS (SELECT *, last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM u)"""
+SQL |= {
+    "notes_found": f"""WITH {_LINES}, h AS (SELECT doc_id, min(line_no) AS heading_no FROM lines WHERE {_has('text', P.NOTES_HEADING)} GROUP BY doc_id), below AS (SELECT doc_id, line_no, text FROM lines JOIN h USING (doc_id) WHERE line_no > heading_no AND NOT {_has('text', P.NOTES_HEADING)}),
+s AS (SELECT doc_id, min(line_no) AS stop FROM below WHERE {_heading('text')} OR {_has('text', P.LABEL)} GROUP BY doc_id),
+k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS note_no FROM below LEFT JOIN s USING (doc_id) WHERE (stop IS NULL OR line_no < stop) AND length(text) > 20) SELECT doc_id, note_no::INT AS note_no, text FROM k WHERE note_no <= 15""",
+    "summaries": f"""WITH {_LINES}, {_EVENTS}, found AS (SELECT doc_id, line_no, bare AS entry FROM v WHERE NOT opens AND (strong OR ((bullet OR spoken) AND coalesce(state, 0) = 1)) AND length(bare) BETWEEN 28 AND 280
+  AND NOT {_has('bare', P.DISCLAIMER)} AND NOT {_has('bare', P.LABEL)} AND NOT {_has('bare', P.SUMMARY_NOT)}), {_ordered('found', 'entry', 12)}""",
+}
