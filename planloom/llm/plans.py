@@ -58,8 +58,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     requirement = table(spark, d, "requirement")
     fields = ("project_title", "client", "job_number")
     held = requirement.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("_f")).select("doc_id", "_f.*")
-    # A field is no site: residue that spread over it is residue all the same.
-    return residue_records(held, ["doc_id", "field_name"], "field_name", "text", set_aside=False)
+    # A field is the host of its values. Residue that spread over it is residue all the same.
+    return residue_records(held, ["doc_id", "field_name"], "field_name", "text", spread=True)
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Lines are normalised and counted by host. Lines that recur on a large part of a host's
 records are boilerplate and are set aside where a record has other lines. What is left
-of a record is judged by its evidence: patterns for marks, and a list of sentences
-compared by edit distance (``pigeonhole_candidates``), so that scanning noise in a
-sentence doesn't hide it.
+of a record is judged by its evidence, line by line and as lines run together: patterns
+for marks, and a list of sentences compared by edit distance (``pigeonhole_candidates``),
+so that neither scanning noise in a sentence nor a line break or boilerplate within it
+hides it.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MARKS = (
     r"(?:^|[\s/])x{4,}(?:[\s.,/-]|$)", r"_{4,}", r"\?{4,}",
     r"#(?:n/a|value!|ref!|name\?|div/0!|num!|null!|spill!)", r"\[object object\]",
 )
+#: Characters at which a mark begins or ends: a line that holds one may be a piece of a mark.
+MARK_ENDS = r"[{}<>«»\[\]()@%$_]"
 #: Whole lines without content.
 WHOLE = (
     r"(?:x{2,}[\s.]*){1,}", r"[nxymd#?_.\-/\s]*(?:[nxymd#?_]{3,}|\.{4,})[nxymd#?_.\-/\s]*", r"[\s\[\](){}<>._#?*=-]*(?:\[\s*\]|\(\s*\)|\{\s*\}|[._#?*=]{4,})[\s\[\](){}<>._#?*=-]*",
@@ -110,40 +113,74 @@ def marked(line: Column) -> Column:
     return line.rlike("|".join(MARKS)) | line.rlike(rf"^(?:{'|'.join(WHOLE)})$") | (F.regexp_count(line, F.lit(filler)) >= F.greatest(F.lit(2), F.floor(words / 2)))
 
 
-def residue_records(records: DataFrame, keys: list[str], host: str, text: str, sentences: DataFrame | None = None, set_aside: bool = True) -> DataFrame:
+def line_runs(lines: Column, longest: Column) -> Column:
+    """Every run of two or more neighbours of ``lines`` (squashed, none empty), run together, of at most ``longest`` characters."""
+
+    def longer(run: Column, line: Column) -> Column:
+        text = F.concat(run["text"], line)
+        fits = F.length(text) <= longest
+        return F.struct(F.when(fits, text).alias("text"), F.when(fits, F.array_append(run["found"], text)).otherwise(run["found"]).alias("found"))
+
+    def runs_from(first: Column, at: Column) -> Column:
+        # Every line adds a character, so no run has more lines than characters.
+        start = F.struct(first.alias("text"), F.array().cast("array<string>").alias("found"))
+        return F.aggregate(F.slice(lines, at + 2, longest), start, longer, lambda run: run["found"])
+
+    return F.array_distinct(F.flatten(F.transform(lines, runs_from)))
+
+
+def residue_records(records: DataFrame, keys: list[str], host: str, text: str, sentences: DataFrame | None = None, spread: bool = False) -> DataFrame:
     """The ``keys`` (distinct) of records whose text, without its host's boilerplate, holds evidence.
 
     ``host`` names the column whose values share boilerplate (a site, a feed, a field).
     Null texts and texts without any character are no cases; a null host is one host;
-    multi-line texts are judged line by line; a record all of whose lines are
-    boilerplate is judged by these. Where any value that contains evidence is a case,
-    however many records share the line, give ``set_aside=False``. Lines are judged once each, whatever the number of
+    multi-line texts are judged line by line and as neighbouring lines run together; a
+    record all of whose lines are boilerplate is judged by these. Where any value that
+    contains evidence is a case, however far it spread, give ``spread=True``: records are then
+    judged as written as well as without boilerplate. Lines are judged once each, whatever the number of
     records that hold them. Other columns don't matter.
     """
     spark = records.sparkSession
     if sentences is None:
         sentences = spark.createDataFrame(evidence_sentences(), "kind string, sentence string")
-    rows = records.where(F.col(text).isNotNull()).select(*keys, F.coalesce(F.col(host), F.lit("")).alias("_host"), F.array_distinct(F.filter(F.transform(F.split(F.col(text), r"[\r\n  ]+"), normal_line), lambda x: x != "")).alias("_lines"))
+    rows = records.where(F.col(text).isNotNull()).select(*keys, F.coalesce(F.col(host), F.lit("")).alias("_host"), F.filter(F.transform(F.split(F.col(text), r"[\r\n  ]+"), normal_line), lambda x: x != "").alias("_all")).withColumn("_lines", F.array_distinct("_all"))
     single = F.size("_lines") == 1
     lines = rows.select(*keys, "_host", single.alias("_single"), F.explode("_lines").alias("_line"))
     counted = materialise(lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_single"), 0).otherwise(1)).alias("_several")), "host-lines")
     hosts = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_records"))
     # Only lines of records with several lines can be set aside, so the rest needs no share.
     recurrent = counted.where((F.col("_several") > 0) & (F.col("_n") >= BOILERPLATE_RECORDS)).join(hosts, "_host").where(F.col("_n") >= BOILERPLATE_SHARE * F.col("_records")).select("_host", "_line", F.lit(True).alias("_common"))
+    refs = sentences.select(squashed(F.lower("sentence")).alias("_sentence")).where(F.col("_sentence") != "").distinct()
+    known = refs.agg((F.coalesce(F.max(F.length("_sentence")), F.lit(0)) + max(e for _, e in STEPS)).alias("_longest"), F.array_join(F.collect_list("_sentence"), " ").alias("_sentences"))
+    piece = (squashed(F.col("_line")) != "") & F.contains("_sentences", squashed(F.col("_line"))) | F.col("_line").rlike(MARK_ENDS)
+    aside = recurrent.crossJoin(F.broadcast(known)).select("_host", "_line", piece.alias("_piece"))
+    # What is left of each text of several lines, in order; the same text of a host is one.
+    several = rows.where(F.size("_lines") > 1).select(*keys, "_host", "_all", F.sha2(F.to_json(F.struct("_host", "_all")), 256).alias("_record"))
+    each = several.select("_record", "_host", F.posexplode("_all").alias("_at", "_line")).join(aside, ["_host", "_line"], "left")
+    held = each.groupBy("_record").agg(F.count_if(F.col("_at") == 0).alias("_n"), F.sort_array(F.collect_set(F.struct("_at", "_line", "_piece"))).alias("_held"))
+    held = held.withColumn("_left", F.filter("_held", lambda x: x["_piece"].isNull()))
+    held = held.withColumn("_left", F.when(F.size("_left") > 0, F.col("_left")).otherwise(F.col("_held")))
+    # Where residue that spread counts, a recurrent line may be a piece of it: such lines are left in once, and all lines once.
+    judge = [F.col("_left"), F.filter("_held", lambda x: F.coalesce(x["_piece"], F.lit(True))), F.col("_held")] if spread else [F.col("_left")]
+    parts = held.select("_record", "_n", F.explode(F.array_distinct(F.array(*[F.transform(x, lambda y: y["_line"]) for x in judge]))).alias("_part")).where(F.size("_part") > 1)
+    parts = parts.crossJoin(F.broadcast(known.select("_longest"))).withColumn("_squashes", F.filter(F.transform("_part", squashed), lambda x: x != ""))
+    parts = materialise(parts.select("_record", "_n", F.array_join("_part", " ").alias("_text"), line_runs(F.col("_squashes"), F.col("_longest")).alias("_runs")), "left-texts")
+    runs = parts.select("_record", "_n", F.explode("_runs").alias("_squash"))
     # Judge each line once.
     judged = counted.groupBy("_line").agg(F.sum("_n").alias("_n"))
     by_mark = judged.where(marked(F.col("_line"))).select("_line")
     squash = judged.select("_line", squashed(F.col("_line")).alias("_squash")).where(F.col("_squash") != "")
-    refs = sentences.select(squashed(F.lower("sentence")).alias("_sentence")).where(F.col("_sentence") != "").distinct()
-    near = pigeonhole_candidates(squash.select("_squash").distinct(), refs, "_squash", "_sentence", STEPS).select("_squash").distinct()
+    near = materialise(pigeonhole_candidates(squash.select("_squash").unionByName(runs.select("_squash")).distinct(), refs, "_squash", "_sentence", STEPS).select("_squash").distinct(), "evidence-squashes")
     bad = materialise(by_mark.unionByName(squash.join(near, "_squash").select("_line")).distinct(), "evidence-lines")
+    together = parts.where(marked(F.col("_text"))).select("_record", "_n").unionByName(runs.join(near, "_squash").select("_record", "_n")).distinct()
+    across = heavy_key_join(several.select(*keys, "_record"), together, ["_record"], "_n").select(*keys)
     evidence = bad.join(judged, "_line")
     hits = heavy_key_join(lines, evidence, ["_line"], "_n")
-    if not set_aside:
-        return hits.select(*keys).distinct()
+    if spread:
+        return hits.select(*keys).unionByName(across).distinct()
     # A hit on a boilerplate line counts only where the record has no other line.
     hits = hits.join(recurrent, ["_host", "_line"], "left")
     plain = hits.where(F.col("_single") | F.col("_common").isNull()).select(*keys)
     whole = hits.where(~F.col("_single") & F.col("_common").isNotNull()).select(*keys, "_host").distinct()
     left = lines.where(~F.col("_single")).join(recurrent, ["_host", "_line"], "left_anti").select(*keys).distinct()
-    return plain.unionByName(whole.select(*keys).join(left, keys, "left_anti")).distinct()
+    return plain.unionByName(whole.select(*keys).join(left, keys, "left_anti")).unionByName(across).distinct()

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from planloom.llm.plans import p6_found
-from planloom.llm.residue import residue_records
+from planloom.llm.residue import line_runs, residue_records
 
 BAD = [
     "{{ job number }}", "${title}", "<<proj_no>>", "«project name»", "@@JobNo@@", "%%title%%", "$title$", "__project_title__", "[enter rpoject name]", "Grilkewy High [SITE NAME] HVAC", "{0} Hall Boiler", "${year} Hall", "<phase> Kitchen", "(insert phase) Roof", "%NAME% Clinic",
@@ -40,3 +42,26 @@ def test_residue_that_spread_over_a_field_is_found(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, project_title string, client string, job_number string").write.parquet(f"{tmp_path}/requirement.parquet")
     got = sorted(tuple(r) for r in p6_found(spark, str(tmp_path)).collect())
     assert got == [(f"d{i:02}", "project_title") for i in range(40)] + [(f"e{i:02}", "job_number") for i in range(60)]
+
+
+def test_evidence_that_boilerplate_or_a_line_break_parts_is_found(spark, tmp_path):
+    form = "Bid form of the district"
+    titles = [(f"f{i:02}", f"{form}\nHall {i}") for i in range(40)] + [("parted", f"Click or tap here\n{form}\nto enter txet."), ("whole", form), ("mark", f"Hall {{{{ job\n{form}\nnumber }}}}"), ("broken", "Hall 7\nYour session has\nexpired")]
+    titles += [(f"s{i:02}", f"Choose\nan item.\nRef. {i}") for i in range(30)] + [("g1", "404\nBoalkstiden Court Reroof"), ("g2", f"Page\n{form}\nStreet Modernization"), ("g3", f"{form}\n---\n"), ("g4", "\n")]
+    titles += [(f"t{i:02}", f"Your session has\n{form}\nexpired") for i in range(30)] + [(f"u{i:02}", f"Hall <<job\n{form}\nno>>\nRef. {i}") for i in range(30)]
+    rows = [(doc, title, "Acme Hall\nBlock A", None) for doc, title in titles]
+    spark.createDataFrame(rows, "doc_id string, project_title string, client string, job_number string").write.parquet(f"{tmp_path}/requirement.parquet")
+    got = sorted(tuple(r) for r in p6_found(spark, str(tmp_path)).collect())
+    assert got == sorted((doc, "project_title") for doc in ["parted", "mark", "broken", *(f"{x}{i:02}" for x in "stu" for i in range(30))])
+
+
+def test_broken_boilerplate_of_a_host_is_set_aside(spark):
+    banner = "Please enable\nJavaScript"
+    rows = [(f"r{i}", "site", f"{banner}\nReal text number {i} of this record", "") for i in range(40)]
+    rows += [("only", "site", banner, ""), ("twice", "site", banner, ""), ("both", "site", f"Page not\n{banner}\nfuond", ""), ("other", "elsewhere", f"{banner}\nReal text", "")]
+    assert found(spark, rows) == ["both", "only", "other", "twice"]
+
+
+def test_runs_of_lines(spark):
+    made = spark.sql("SELECT array('ab', 'c', 'defg', 'h') AS a, array('ab') AS b, cast(array() AS array<string>) AS c").select(*[line_runs(F.col(x), F.lit(6)).alias(x) for x in "abc"]).first()
+    assert [sorted(x) for x in made] == [["abc", "cdefg", "cdefgh", "defgh"], [], []]
